@@ -69,20 +69,27 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 #: Rows of one key from which a lookup splits it, and rows in each part.
 HOT_ROWS = 20_000
+#: The hottest keys that a lookup salts; the others stay whole, whatever their size, and lose no row either.
+HOT_KEYS = 1000
 
 
 def hot_lookup(left: DataFrame, right: DataFrame, key: str, salt_by: str, how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``left`` joined to ``right`` on ``key``, where ``right`` has at most one row per key.
+    """``left`` joined to ``right``, which has few rows per key, on the column ``key``.
 
     Keys with over ``hot_rows`` rows on the left are salted by a hash of
     ``salt_by``: their left rows are spread over parts of about that size and
-    their right row is repeated for each part. At most rows/hot_rows keys are
-    hot, and no row is dropped.
+    their right rows are repeated for each part. ``left`` is read twice, so it
+    should be cheap to make. The salted keys are at most HOT_KEYS rows, which
+    bounds what is broadcast.
     """
-    hot = left.groupBy(key).count().where(F.col("count") > hot_rows)
-    hot = hot.select(F.col(key).alias("_hk"), F.ceil(F.col("count") / hot_rows).cast("int").alias("_parts"))
-    spread = right.join(hot, F.col(key) == F.col("_hk"), "left").drop("_hk")
+    hot = left.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > hot_rows)
+    found = hot.orderBy(F.desc("count")).limit(HOT_KEYS).collect()
+    if not found:
+        return left.join(right, key, how)
+    spark, kind = left.sparkSession, left.schema[key].dataType.simpleString()
+    parts = spark.createDataFrame([(r[key], -(-r["count"] // hot_rows)) for r in found], f"`{key}` {kind}, _parts int")
+    spread = right.join(F.broadcast(parts), key, "left")
     spread = spread.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
-    rows = left.join(hot, F.col(key) == F.col("_hk"), "left").drop("_hk")
+    rows = left.join(F.broadcast(parts), key, "left")
     rows = rows.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(salt_by), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
     return rows.join(spread, [key, "_salt"], how).drop("_salt")
