@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: The modules that register queries.
-MODULES = ("quality_rules", "near_dedup", "bpe")
+MODULES = ("quality_rules", "near_dedup", "bpe", "decontaminate")
 
 
 def _gathered(name: str) -> dict:
