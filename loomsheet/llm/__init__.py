@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: The modules that register queries.
-MODULES = ("quality_rules", "near_dedup", "bpe", "decontaminate", "language_id", "url_filter", "secrets", "chat", "rule_ensemble")
+MODULES = ("quality_rules", "near_dedup", "bpe", "decontaminate", "language_id", "url_filter", "secrets", "chat", "rule_ensemble", "pii")
 
 
 def _gathered(name: str) -> dict:
