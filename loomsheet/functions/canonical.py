@@ -192,7 +192,7 @@ class Writer:
             made, k = self._operand(nodes, k)
         value = made[-1:] in ("`", ")") or bool(_WORD.match(made)) and made.lower() not in _KEYWORDS
         while value and k < len(nodes) and isinstance(nodes[k], str) and nodes[k][0] == "[":
-            made, k = f"element_at({made}, {self.write(parse(tokens(nodes[k][1:-1])))})", k + 1
+            made, k = f"get({made}, ({self.write(parse(tokens(nodes[k][1:-1])))}) - 1)", k + 1
         return made, k
 
     def _operand(self, nodes: list, k: int) -> tuple[str, int]:
