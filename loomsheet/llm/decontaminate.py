@@ -125,9 +125,9 @@ class Shard:
         self.starts, self.postings = starts.astype(np.int64), postings.astype(np.int64) + _GAP
         self.flat = np.full(int(starts[-1]) + 2 * _GAP, -1, np.int32)
         self.flat[self.postings] = np.repeat(terms, np.diff(firsts))
-        self.count = np.zeros(n_terms + 1, np.int64)  # the last is for gaps
+        self.count = np.zeros(n_terms + 2, np.int64)  # the last two, found as -2 and -1, are for gaps
         self.count[terms] = np.diff(firsts)
-        self.first = np.zeros(n_terms + 1, np.int64)
+        self.first = np.zeros(n_terms + 2, np.int64)
         self.first[terms] = firsts[:-1]
 
     def rarest(self, q: Queries) -> tuple[np.ndarray, np.ndarray]:
