@@ -190,6 +190,8 @@ class Writer:
             made, k = f"array({self.write(parse(tokens(follows[1:-1])))})", k + 2
         else:
             made, k = self._operand(nodes, k)
+        if k + 1 < len(nodes) and isinstance(nodes[k], str) and nodes[k].lower() == "over" and isinstance(nodes[k + 1], Group):
+            return f"{made} OVER ({self.write(nodes[k + 1].body)})", k + 2
         value = made[-1:] in ("`", ")") or bool(_WORD.match(made)) and made.lower() not in _KEYWORDS
         while value and k < len(nodes) and isinstance(nodes[k], str) and nodes[k][0] == "[":
             made, k = f"get({made}, ({self.write(parse(tokens(nodes[k][1:-1])))}) - 1)", k + 1
@@ -314,6 +316,9 @@ class Writer:
         cases.append(f"WHEN {x} >= {bounds[-1]} THEN {quoted('>= ' + label(bounds[-1]))}")
         return f"CASE {' '.join(cases)} ELSE 'Unknown' END"
 
+    def _fn_if(self, condition, yes, no="NULL"):
+        return f"if({condition}, {yes}, {no})"
+
     def _fn_current_date(self):
         return self.today
 
