@@ -1 +1 @@
-
+"""The canonical function vocabulary and its dialects."""

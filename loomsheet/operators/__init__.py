@@ -1 +1 @@
-
+"""Queries, the compiler, reports and statements."""

@@ -1 +1 @@
-
+"""The join graph and the planner."""

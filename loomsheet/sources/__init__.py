@@ -1 +1 @@
-
+"""Models on disk, tables as DataFrames, model generation."""

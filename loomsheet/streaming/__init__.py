@@ -1 +1 @@
-
+"""Empty: the engine asks batch questions only."""
