@@ -61,7 +61,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
             columns[at] = pa.array(clean, texts.type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(common.lean(run), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 

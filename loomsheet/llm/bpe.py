@@ -31,8 +31,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: White space as Unicode defines it. The regex module's \s also takes U+001C to U+001F.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 
-#: Pre-tokens that a worker remembers, and the longest of them in characters.
-REMEMBERED, REMEMBERED_LENGTH = 200_000, 40
+#: The longest pre-tokens, in characters, that a worker remembers, and how many in each of two generations; a hundred thousand take about 25 MB.
+REMEMBERED_LENGTH, REMEMBERED = 40, 100_000
 
 
 _BIT = [1 << k for k in range(256)]
@@ -46,8 +46,9 @@ class Encoder(dict):
     has been asked for since.
     """
 
-    def __init__(self, raw: bytes, pattern: str) -> None:
+    def __init__(self, raw: bytes, pattern: str, remembered: int = REMEMBERED) -> None:
         super().__init__()
+        self.remembered = remembered
         self.older: dict[str, tuple[int, ...]] = {}
         self.ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, raw.splitlines()) if t}
         if max(self.ranks.values(), default=0) >= 1 << 16:
@@ -61,7 +62,7 @@ class Encoder(dict):
         if ids is None:
             ids = tuple(self.merged(piece.encode()))
         if len(piece) <= REMEMBERED_LENGTH:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.remembered:
                 self.older = dict(self)
                 self.clear()
             self[piece] = ids
@@ -143,9 +144,9 @@ class Encoder(dict):
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
-def encoder(raw: bytes, pattern: str) -> Encoder:
-    return Encoder(raw, pattern)
+@lru_cache(maxsize=1)
+def encoder(raw: bytes, pattern: str, remembered: int = REMEMBERED) -> Encoder:
+    return Encoder(raw, pattern, remembered)
 
 
 def _vocabulary(path: str | None) -> tuple[bytes, str]:
@@ -168,7 +169,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
     chosen = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("doc_id"), *keep)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:])
-    return chosen.mapInArrow(run, f"{kinds}, ids array<int>")
+    return chosen.mapInArrow(common.lean(run), f"{kinds}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -182,7 +183,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             out = [ours.decode(ids or ()) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(common.lean(run), "doc_id long, decoded binary")
 
 
 def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,7 +203,7 @@ def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return chosen.mapInArrow(common.lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

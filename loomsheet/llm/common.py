@@ -6,13 +6,14 @@ import atexit
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch. Texts of 100 kB and more occur, so a batch is kept small.
-BATCH_ROWS = 512
-#: Bytes in one Arrow batch, where Spark supports that limit.
-BATCH_BYTES = 8 << 20
+BATCH_ROWS = 128
+#: Bytes in one Arrow batch.
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,16 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def lean(run):
+    """``run``, a function over Arrow batches, giving back at its end what Arrow holds: a worker serves many tasks, and keeps it otherwise."""
+
+    def inner(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return inner
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -38,7 +38,7 @@ WINDOW = 13
 #: Bytes of item texts in one block.
 BLOCK_BYTES = 16 << 20
 #: Texts in one shard.
-SHARD_ROWS = 1024
+SHARD_ROWS = 512
 
 _KEPT = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isdigit() or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -115,7 +115,7 @@ def build_index(docs: DataFrame, items: tuple, id_col: str = "doc_id", text_col:
             lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in values]
             yield pa.RecordBatch.from_arrays(lists, names=[k for k, _ in kind])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, INDEX)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(common.lean(run), INDEX)
 
 
 class Shard:
@@ -217,7 +217,7 @@ def search(index: DataFrame, items: tuple, slop: int | None = None, share: float
                 columns = [ids, digests, words_of, pa.array(flat, pa.list_(pa.int32())), pa.array(listed, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "n_words", "spans", "items"])
 
-    return index.mapInArrow(run, FOUND)
+    return index.mapInArrow(common.lean(run), FOUND)
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int):
@@ -270,7 +270,7 @@ def judged(found: DataFrame) -> DataFrame:
             columns = [batch.column(0), batch.column(1), pa.array(n_hit, pa.int64()), pa.array([len(i) for i in items], pa.int64()), pa.array(digests, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
 
-    rows = found.select("doc_id", "n_words", "spans", "items").mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string")
+    rows = found.select("doc_id", "n_words", "spans", "items").mapInArrow(common.lean(run), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string")
     return rows.withColumn("contaminated", F.expr("n_hit > 0 AND 20 * n_hit >= n_words"))
 
 

@@ -110,7 +110,7 @@ def fit(labelled: DataFrame, settings: Settings = Settings(), id_col: str = "doc
                 found, n = np.append(found.astype(np.int64), -1), np.append(n, len(mine))  # -1: the texts themselves
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), pa.array(found), pa.array(n, pa.int64())], names=["l", "g", "n"])
 
-    counts = sample.mapInArrow(count, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).where("n > 1 OR g = -1").toPandas()
+    counts = sample.mapInArrow(common.lean(count), "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).where("n > 1 OR g = -1").toPandas()
     texts = counts[counts.g < 0].set_index("l").n
     counts = counts[counts.g >= 0].copy()
     counts["share"] = counts.n / counts.l.map(texts)
@@ -131,7 +131,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *keep)
     kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[2:])
-    return chosen.mapInArrow(run, f"doc_id {chosen.schema[0].dataType.simpleString()}, lang_pred string, score double{kinds}")
+    return chosen.mapInArrow(common.lean(run), f"doc_id {chosen.schema[0].dataType.simpleString()}, lang_pred string, score double{kinds}")
 
 
 def decide(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:

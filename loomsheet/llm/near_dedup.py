@@ -89,7 +89,7 @@ def signatures(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> Data
             yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], schema=out)
 
     types = "doc_id long, n_shingles long, key binary, signature binary, buckets array<long>"
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, types)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(common.lean(run), types)
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
@@ -104,7 +104,7 @@ def _alike(pairs: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
     sign = nodes.select("node", "signature")
     both = common.hot_lookup(pairs, sign.toDF("y", "sy"), "y", "x")
     both = both.join(sign.toDF("x", "sx"), "x")
-    return both.select("x", "y", "sx", "sy").mapInArrow(run, "x long, y long")
+    return both.select("x", "y", "sx", "sy").mapInArrow(common.lean(run), "x long, y long")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
@@ -120,7 +120,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
 
     both = common.hot_lookup(pairs, texts.toDF("y", "ty"), "y", "x", hot_rows=1000)
     both = both.join(texts.toDF("x", "tx"), "x")
-    return both.select("x", "y", "tx", "ty").mapInArrow(run, "x long, y long")
+    return both.select("x", "y", "tx", "ty").mapInArrow(common.lean(run), "x long, y long")
 
 
 def across(banded: DataFrame, comps: DataFrame) -> DataFrame:

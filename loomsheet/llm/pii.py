@@ -236,7 +236,7 @@ def redrawn(docs: DataFrame, key: bytes, text_col: str = "text", most: int = 40)
             found = {v for t in batch.column(0).to_pylist() if t for m in _PERSON.finditer(t) if m[1] in _OF_NAME for v in [m[1] + m[2]]}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["name"])
 
-    people, _ = common.stored(docs.select(F.col(text_col)).mapInArrow(names, "name string").distinct(), "names")
+    people, _ = common.stored(docs.select(F.col(text_col)).mapInArrow(common.lean(names), "name string").distinct(), "names")
     again: dict[str, int] = {}
     for _ in range(most):
         tried = dict(again)
@@ -246,7 +246,7 @@ def redrawn(docs: DataFrame, key: bytes, text_col: str = "text", most: int = 40)
                 drawn = [surrogate("person", n, key, tried.get(n, 0)) for n in batch.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(drawn, pa.string())], names=["name", "drawn"])
 
-        drawn = people.mapInArrow(draw, "name string, drawn string")
+        drawn = people.mapInArrow(common.lean(draw), "name string, drawn string")
         first = drawn.groupBy("drawn").agg(F.min("name").alias("first"), F.count("*").alias("n")).where("n > 1")
         losers = drawn.join(first, "drawn").where("name <> first").select("name").limit(MOST_REDRAWN + 1).collect()
         if len(losers) + len(again) > MOST_REDRAWN:
@@ -271,7 +271,7 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
 
     chosen = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("doc_id"), *keep)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:])
-    return chosen.mapInArrow(run, f"{kinds}, text string, " + ", ".join(f"n_{k} long" for k in KINDS))
+    return chosen.mapInArrow(common.lean(run), f"{kinds}, text string, " + ", ".join(f"n_{k} long" for k in KINDS))
 
 
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

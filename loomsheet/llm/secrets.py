@@ -238,7 +238,7 @@ def sample_windows(docs: DataFrame, s: Settings) -> list:
             columns = list(zip(*out, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["d", "k", "x", "t"])
 
-    return chosen.mapInArrow(run, "d long, k int, x binary, t binary").collect()
+    return chosen.mapInArrow(common.lean(run), "d long, k int, x binary, t binary").collect()
 
 
 def fit(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> crf.Model | None:
@@ -328,7 +328,7 @@ def scanned(docs: DataFrame, model: crf.Model | None, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_assign", "n_access", "n_hex", "n_crf", "base_sha256", "spans"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_crf long, base_sha256 string, spans string")
+    return chosen.mapInArrow(common.lean(run), "doc_id long, n_assign long, n_access long, n_hex long, n_crf long, base_sha256 string, spans string")
 
 
 def redact(text: str, spans: list[Span], mark: str = "[SECRET]") -> str:

@@ -68,7 +68,7 @@ def write_index(rules: DataFrame) -> tuple[str, list[int]]:
             lengths = [len(p) for p in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(keys, pa.string()), b.column(2), pa.array(lengths, pa.int32())], names=["d", "k", "v", "n"])
 
-    keyed, _ = common.stored(rules.mapInArrow(digest, "d binary, k string, v string, n int"), "url-rules")
+    keyed, _ = common.stored(rules.mapInArrow(common.lean(digest), "d binary, k string, v string, n int"), "url-rules")
     name, folder = f"urls-{uuid.uuid4().hex}", common.shared_dir(spark)
     jvm = spark.sparkContext._jvm
     out = []
@@ -157,7 +157,7 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
 
     host, path = parts(F.col(url_col))
     chosen = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    return chosen.mapInArrow(run, f"page_id {chosen.schema[0].dataType.simpleString()}, host string, path string, rule string, verdict string")
+    return chosen.mapInArrow(common.lean(run), f"page_id {chosen.schema[0].dataType.simpleString()}, host string, path string, rule string, verdict string")
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
