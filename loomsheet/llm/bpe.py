@@ -186,13 +186,16 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(common.lean(run), "doc_id long, decoded binary")
 
 
-def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256: the round trip without keeping the ids."""
+def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", remembered: int = 5 * REMEMBERED) -> DataFrame:
+    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256: the round trip without keeping the ids.
+
+    Workers that do nothing else can remember more pre-tokens: by default up to a million, in about 250 MB.
+    """
     common.small_batches(docs.sparkSession)
     raw, pattern = _vocabulary(path)
 
     def run(batches):
-        ours = encoder(raw, pattern)
+        ours = encoder(raw, pattern, remembered)
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
