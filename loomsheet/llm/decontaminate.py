@@ -8,9 +8,10 @@ Shards are written to the shared folder, so a lost executor costs a re-read.
 A search takes each window of each item, starts from the postings of its
 rarest term in the shard, shifts them by the term's offset and intersects them
 with the postings of the terms beside it, nearest first. A window none of whose
-places survive is dropped at once. ``exact`` finds phrases word for word,
-``near`` finds windows whose words lie close to where the rarest one puts
-them. No posting is ever shuffled.
+places survive is dropped at once. ``exact`` finds phrases word for word.
+``near`` finds windows most of whose words lie close to their places; as words
+may be missing, it starts from several of a window's rarest terms. No posting
+is ever shuffled.
 
 Test items are taken in blocks of bounded size; a block is sent to all
 executors, and the blocks' results are merged by document.
@@ -61,6 +62,8 @@ class Queries:
 
 
 _GAP = WINDOW
+#: Windows, and postings of their anchors, that a proximity search takes at a time.
+_TRIED = 1 << 16
 
 
 @lru_cache(maxsize=2)
@@ -167,25 +170,60 @@ class Shard:
         hit = np.flatnonzero(reach[0] + reach[1] + 1 >= q.need[mine])
         return at[hit] - reach[0][hit] - _GAP, at[hit] + reach[1][hit] - _GAP, q.item_of[mine[hit]]
 
+    def tries(self, q: Queries, share: float):
+        """Windows and anchors for ``near``, some at a time: the place of a window, the place of one of its terms, and the words that must be found.
+
+        Of a window that may miss n words, n + 1 are anchors: one of any so many must be found. The rarest give the least work; which they are doesn't change what is found.
+        """
+        counts = self.count[q.flat]
+        for size, every in q.windows.items():
+            least = max(1, int(np.ceil(share * size - 1e-9)))
+            if least > size:
+                continue
+            for i in range(0, len(every), _TRIED):
+                at = every[i : i + _TRIED]
+                seen = np.lib.stride_tricks.sliding_window_view(counts, size)[at]
+                pick = np.argsort(seen, axis=1, kind="stable")[:, : size - least + 1]
+                places, anchors = np.repeat(at, pick.shape[1]), (at[:, None] + pick).ravel()
+                there = counts[anchors] > 0
+                places, anchors = places[there], anchors[there]
+                total = np.cumsum(counts[anchors])
+                a = 0
+                while a < len(anchors):
+                    b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + _TRIED, "right")))
+                    yield places[a:b], anchors[a:b], least
+                    a = b
+
     def near(self, q: Queries, slop: int, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Proximity matches: windows of which at least ``share`` of the words lie within ``slop`` places of where the rarest one puts them."""
-        pad = np.full(slop + WINDOW, -1, np.int32)
-        flat = np.concatenate([pad, self.flat, pad])
-        places, rare = self.rarest(q)
-        which, at = self.candidates(q, rare)
-        sizes = q.need[places][which]
-        start = at - (rare - places)[which] + len(pad)
-        found = np.zeros(len(at), np.int64)
-        for k in range(WINDOW):
-            use = np.flatnonzero(k < sizes)
-            term = q.flat[places[which[use]] + k]
-            there = np.zeros(len(use), bool)
-            for d in range(-slop, slop + 1):
-                there |= flat[np.clip(start[use] + k + d, 0, len(flat) - 1)] == term
-            found[use] += there
-        hit = np.flatnonzero(found >= np.ceil(share * sizes))
-        first = start[hit] - len(pad) - _GAP
-        return first, first + sizes[hit] - 1, q.item_of[places[which[hit]]]
+        """Proximity matches: windows that can be laid on a document so that at least ``share`` of their words lie within ``slop`` places of where they should.
+
+        A window may stick out of the document; words of other documents don't count. A match reaches from the first to the last word found.
+        """
+        hits = [np.zeros((3, 0), np.int64)]
+        for windows, anchors, least in self.tries(q, share):
+            which, at = self.candidates(q, anchors)
+            doc = np.searchsorted(self.starts, at - _GAP, "right") - 1
+            low, high = self.starts[doc] + _GAP, self.starts[doc + 1] + _GAP - 1
+            place = windows[which]
+            size = int(q.need[place[0]])
+            for shift in range(-slop, slop + 1):
+                start = at - (anchors - windows)[which] - shift
+                alive, found = np.arange(len(at)), np.zeros(len(at), np.int64)
+                first, last = np.full(len(at), high.max()), np.full(len(at), -1)
+                for k in range(size):
+                    term, there = q.flat[place[alive] + k], np.zeros(len(alive), bool)
+                    for d in range(-slop, slop + 1):
+                        p = start[alive] + k + d
+                        same = (p >= low[alive]) & (p < high[alive])
+                        same[same] = self.flat[p[same]] == term[same]
+                        there |= same
+                        mine, p = alive[same], p[same]
+                        first[mine], last[mine] = np.minimum(first[mine], p), np.maximum(last[mine], p)
+                    found[alive] += there
+                    alive = alive[found[alive] + size - k - 1 >= least]
+                hits.append(np.unique(np.stack([first[alive], last[alive], q.item_of[place[alive]]]), axis=1))
+        first, last, item = np.unique(np.concatenate(hits, axis=1), axis=1)
+        return first - _GAP, last - _GAP, item
 
 
 FOUND = "doc_id long, digest binary, n_words long, spans array<int>, items array<long>"
@@ -205,7 +243,7 @@ def search(index: DataFrame, items: tuple, slop: int | None = None, share: float
                 shard = Shard(*(x.to_numpy(zero_copy_only=False) for x in arrays), len(q.vocabulary))
                 first, last, item = shard.exact(q) if slop is None else shard.near(q, slop, share)
                 n = len(ids)
-                doc = np.searchsorted(shard.starts, np.clip(first, 0, None), "right") - 1
+                doc = np.searchsorted(shard.starts, first, "right") - 1
                 spans: dict[int, set] = {}
                 found: dict[int, set] = {}
                 for d, a, b, i in zip(doc.tolist(), (first - shard.starts[doc]).tolist(), (last - shard.starts[doc]).tolist(), item.tolist(), strict=True):

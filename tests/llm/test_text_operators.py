@@ -174,6 +174,45 @@ def test_proximity(spark):
     assert {r.doc_id: list(r["items"]) for r in decontaminate.matches(docs, bench).collect()} == {1: [7], 2: [], 3: []}
 
 
+def brute_near(text, items, slop, share):
+    split = lambda t: re.findall(r"[a-z0-9]+", t or "")
+    w, spans, found = split(text), set(), set()
+    for i, t in items:
+        q = split(t)
+        size = min(13, len(q))
+        for window in [q[k : k + size] for k in range(len(q) - size + 1)]:
+            for start in range(-size - slop, len(w) + slop + 1):
+                at = [[p for p in range(start + k - slop, start + k + slop + 1) if 0 <= p < len(w) and w[p] == x] for k, x in enumerate(window)]
+                if sum(map(bool, at)) >= share * size - 1e-9:
+                    spans.add((min(min(a) for a in at if a), max(max(a) for a in at if a)))
+                    found.add(i)
+    return [x for s in sorted(spans) for x in s], sorted(found)
+
+
+@pytest.mark.parametrize("slop", [0, 2])
+def test_proximity_is_what_brute_force_finds(spark, slop):
+    rng = random.Random(slop)
+    vocabulary = [f"w{k}" for k in range(60)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=n))) for k, n in enumerate((5, 10, 13, 15, 20))]
+    texts = []
+    for k in range(60):
+        w = items[k % 5][1].split()
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            w[rng.randrange(len(w))] = rng.choice([f"new{k}", rng.choice(vocabulary)])
+        if slop and rng.random() < 0.5:
+            w.insert(rng.randrange(len(w)), "more")
+        w = w[rng.choice([0, 0, 1, 2]) : len(w) - rng.choice([0, 0, 1, 2])]  # some start or end inside a window
+        texts.append((k, " ".join(rng.choices(vocabulary, k=rng.choice([0, 0, 4])) + w + rng.choices(vocabulary, k=rng.choice([0, 0, 4])))))
+    texts += [(70, None), (71, ""), (72, "other words")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {i: brute_near(t, items, slop, 0.8) for i, t in texts}
+    assert sum(bool(f) for _, f in want.values()) > 30
+    docs = frame(spark, texts)
+    for shards in (docs.coalesce(1), docs.repartition(9, "doc_id"), *(frame(spark, [t]).coalesce(1) for t in texts[:6])):
+        got = {r.doc_id: (list(r.spans), list(r["items"])) for r in decontaminate.matches(shards, bench, slop=slop).collect()}
+        assert got == {i: want[i] for i in got} and len(got) in (1, len(texts))
+
+
 # Language ID.
 def test_language_id(spark, sf, odd):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
