@@ -3,7 +3,8 @@
 E-mail addresses, telephone numbers, IPv4 addresses and long card or account
 numbers are replaced by a keyed permutation of all strings of the same format:
 digits stay digits, letters keep their script and case, separators stay, an
-octet stays an octet of as many digits, a number's Luhn remainder stays. The
+octet stays an octet of as many digits, a group of several digits keeps its
+leading zero or has none, a number's Luhn remainder stays. The
 permutation is one cycle, so no value is replaced by itself, two values never
 share a surrogate, and one value has the same surrogate everywhere in a corpus
 of any size, without a table.
@@ -136,7 +137,7 @@ def _places(kind: str, value: str) -> list[list[str]]:
             low, high = {1: (0, 9), 2: (10, 99), 3: (100, 255)}[len(octet)]
             out += [[str(v) for v in range(low, high + 1)], ["."]]
         return out[:-1]
-    fixed = set()
+    fixed, digits = set(), set("0123456789")
     if kind == "email":  # the top-level domain
         fixed = set(range(value.rindex("."), len(value)))
     elif kind == "phone" and value[0] == "+":  # the country code
@@ -146,8 +147,8 @@ def _places(kind: str, value: str) -> list[list[str]]:
         choice = _CLASS.get(c)
         if k in fixed or choice is None:
             out.append([c])
-        elif choice[0] == "0" and c != "0" and (k == 0 or value[k - 1] not in "0123456789"):
-            out.append(list("123456789"))  # a group of digits that starts without a zero goes on doing so
+        elif choice[0] == "0" and value[k + 1 : k + 2] in digits and value[k - 1 : k] not in digits:
+            out.append(["0"] if c == "0" else list("123456789"))  # a group of digits keeps its leading zero, or goes on without; were either free, the two could meet
         else:
             out.append(list(choice))
     return out

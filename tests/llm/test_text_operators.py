@@ -317,6 +317,20 @@ def test_surrogates(spark, odd):
     assert pii.pseudonymise(frame(spark, []), key).count() == 0
 
 
+def test_surrogates_are_distinct_with_leading_zeros():
+    formats = {
+        "phone": [f"({a:02d}) {b:02d}" for a in range(100) for b in range(100)],
+        "email": [f"{a}.{b:02d}@{c}.org" for a in range(10) for b in range(100) for c in range(10)],
+        "card": [f"{a:04d}" for a in range(10_000)],
+    }
+    for kind, values in formats.items():
+        made = [pii.surrogate(kind, v, b"k") for v in values]
+        assert sorted(made) == sorted(values) and not any(map(str.__eq__, made, values))
+    for old in ("+1 (017) 555-0713", "0017 0555"):
+        groups = zip(re.findall(r"\d+", old), re.findall(r"\d+", pii.surrogate("phone", old, b"k")), strict=True)
+        assert all((a[0] == "0") == (b[0] == "0") for a, b in groups)
+
+
 def test_colliding_names_are_drawn_again(spark, monkeypatch):
     monkeypatch.setitem(pii._SYLLABLES, "latin", ["ba"])  # all surnames alike, so given names must tell names apart
     docs = frame(spark, [(k, f"Anna {s} came") for k, s in enumerate(("Eins", "Zwei", "Drei", "Vier"))])
