@@ -5,8 +5,8 @@ inside or outside, from the token's shape, the words beside it and features of
 the file. It is trained here, on a bounded sample of texts whose base matches
 serve as labels. As these know few shapes, each sampled text also gives a
 snippet into which either an invented secret of another shape is put, labelled
-so, or a harmless token that looks odd. Tagged spans that overlap no base span
-are added with the kind ``crf``.
+so, or a harmless token that looks odd. Of tagged spans, what lies outside the
+base spans is added with the kind ``crf``.
 
 Null is the empty text: no spans. Rows that repeat are scanned row by row.
 Where no text can be sampled, the field adds nothing.
@@ -279,6 +279,7 @@ def scan(model: crf.Model | None, texts: pa.Array) -> list[list[Span]]:
         raw = data[offsets[d] : offsets[d + 1]].tobytes()
         base = base_spans(text, raw) if hexed[d] or b"AKIA" in raw or any(k in raw.lower() for k in _KEYS) else []
         more: list[list[int]] = []
+        added: list[Span] = []
         for k in by_doc.get(d, ()):
             if more and tags[k] == crf.INSIDE and more[-1][1] == k:
                 more[-1][1] = k + 1
@@ -289,12 +290,29 @@ def scan(model: crf.Model | None, texts: pa.Array) -> list[list[Span]]:
             a = len(raw[: int(starts[p] - offsets[d])].decode())
             a += len(piece) - len(piece.lstrip(_STRIP))
             b = a + len(piece.strip(_STRIP))
-            if b > a and not any(a < y and x < b for x, y, _ in base):
-                base.append((a, b, 3))
-        found.append(sorted(base, key=lambda s: (s[0], s[2])))
+            added += [(x, y, 3) for x, y in _beyond(text, a, b, base)]
+        found.append(sorted(base + added, key=lambda s: (s[0], s[2])))
     return found
 
 
+def _beyond(text: str, a: int, b: int, base: list[Span]) -> list[tuple[int, int]]:
+    """What of a tagged span lies outside the base spans: the parts that are more than punctuation."""
+    parts, at = [], a
+    for x, y, _ in base:
+        if x < b and y > at:
+            parts.append((at, x))
+            at = y
+    if at == a:
+        return [(a, b)] if b > a else []
+    out = []
+    for x, y in [*parts, (at, b)]:
+        piece = text[x:y]
+        x += len(piece) - len(piece.lstrip(_STRIP + "."))
+        if rest := piece.strip(_STRIP + "."):
+            out.append((x, x + len(rest)))
+    return out
+
+
 def _hex_docs(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Whether a text may hold a run of 16 hexadecimal digits."""
     out = np.zeros(len(offsets) - 1, bool)

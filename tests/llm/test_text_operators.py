@@ -267,6 +267,20 @@ def test_secret_spans(spark, sf, odd):
     assert secrets.fit(docs.limit(0)) is None
 
 
+def test_the_rest_of_a_tagged_secret_is_found(spark, sf, monkeypatch):
+    model = secrets.fit(spark.read.parquet(f"{sf}/documents.parquet"))
+    text = "é key Zk9Qx0123456789abcdefRt7Wp2Lm4Vb of it"
+    spans = secrets.scan(model, pa.array([text]))[0]
+    clean = secrets.redact(text, spans)
+    assert "Zk9Qx" not in clean and "Rt7Wp2" not in clean and clean.endswith(" of it")
+    assert [s for s in spans if s[2] < 3] == literal_spans(text)
+    monkeypatch.setattr(secrets.crf, "tag", lambda model, scores, first: [secrets.crf.BEGIN] * len(scores))
+    at = "0123456789abcdef"
+    cases = {f"é x{at}y": ["é", "x", at, "y"], f"({at}).": [at], f"{at}~{at}|~{at}": [at, "~", at, "~", at], f"secret=abcdefghijkl~{at.upper()}": ["secret=abcdefghijkl", f"~{at.upper()}"], "~ab.": ["~ab."], f"{at}": [at]}
+    for t, want in cases.items():
+        assert [t[a:b] for a, b, _ in secrets.scan(model, pa.array([t]))[0]] == want
+
+
 def test_the_field_finds_other_secrets(spark, sf):
     model = secrets.fit(spark.read.parquet(f"{sf}/documents.parquet"))
     rng = random.Random(77)
