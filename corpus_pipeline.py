@@ -27,24 +27,30 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(keep)])
 
 
+#: Ids that ``dedup`` makes begin here, so that documents with smaller ids of their own come before.
+_MADE = 1 << 62
+
+
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8); of rows that repeat an id, one."""
-    found = near_dedup.near_duplicates(docs)
-    gone = found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("NOT kept")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8), with or without an id; of rows that repeat an id, one."""
+    keyed = docs.withColumn("_row", F.coalesce("doc_id", F.lit(_MADE) + F.shiftrightunsigned(F.xxhash64("text"), 2)))
+    found = near_dedup.near_duplicates(keyed, id_col="_row").withColumnRenamed("doc_id", "_row")
+    gone = found.groupBy("_row").agg(F.bool_or("kept").alias("kept")).where("NOT kept")
+    kept = keyed.join(gone, "_row", "left_anti")
     # Only ids found more than once are grouped; their rows are few, and the rest isn't shuffled for them.
-    twice, _ = common.stored(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    twice, _ = common.stored(found.where("kept").groupBy("_row").count().where("count > 1").select("_row"), "repeated")
     if twice.isEmpty():
-        return kept
-    one = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
+        return kept.select(*docs.columns)
+    one = kept.join(twice, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    return kept.join(twice, "_row", "left_anti").select(*docs.columns).unionByName(one)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of which a twentieth or more of the words lie in windows of benchmark items."""
-    found = decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
-    gone = found.where("contaminated").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Drop documents of which a twentieth or more of the words lie in windows of benchmark items, with or without an id."""
+    named = docs.withColumn("_text_id", F.xxhash64("text"))  # the verdict depends on the text alone
+    found = decontaminate.decontaminate(named, common.table(spark, sf_dir, "benchmark"), id_col="_text_id")
+    gone = found.where("contaminated").select(F.col("doc_id").alias("_text_id")).distinct()
+    return named.join(gone, "_text_id", "left_anti").select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

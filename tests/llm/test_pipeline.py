@@ -68,6 +68,26 @@ def test_stages_of_nothing(spark, folder):
     assert docs.count() == 0
 
 
+def some_texts(n):
+    rng = random.Random(8)
+    return [" ".join(rng.choices([f"v{k}" for k in range(5000)], k=60)) for _ in range(n)]
+
+
+def documents(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_null_ids_are_judged_too(spark, sf):
+    a, b, c, *_ = some_texts(3)
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").where("item_id = 3").first().text
+    rows = [(1, a), (None, a), (None, a + " x"), (None, b), (None, b), (None, b + " x"), (None, c), (None, None), (None, ""), (2, None)]
+    got = corpus_pipeline.dedup(spark, documents(spark, rows), sf).collect()
+    assert Counter((r.doc_id, (r.text or "")[:100] if r.text is not None else None) for r in got if r.text != b and r.text != b + " x") == Counter([(1, a[:100]), (None, c[:100]), (None, None), (None, ""), (2, None)])
+    assert sum(r.text in (b, b + " x") for r in got) == 1
+    clean = corpus_pipeline.clean_of_benchmark(spark, documents(spark, [(None, item), (None, a), (None, a), (5, item), (5, b), (None, None)]), sf).collect()
+    assert Counter((r.doc_id, r.text) for r in clean) == Counter([(None, a), (None, a), (5, b), (None, None)])
+
+
 def test_hot_keys_lose_no_row(spark):
     left = spark.range(300).select((F.col("id") % 3 * (F.col("id") % 2)).alias("k"), F.col("id").alias("v")).unionByName(spark.createDataFrame([(None, 1000)], "k long, v long"))
     right = spark.createDataFrame([(0, "a"), (1, "b")], "k long, w string")
