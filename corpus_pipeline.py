@@ -31,17 +31,38 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 _MADE = 1 << 62
 
 
+def _one_text_an_id(docs: DataFrame) -> DataFrame:
+    """``docs`` with _row, an id that each text has for itself: doc_id, or a made one where doc_id is null or stands for several texts.
+
+    Of the texts of one doc_id, that of the least hash keeps it. Equal rows share their _row.
+    """
+    h = F.xxhash64("text")
+    several = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(h).alias("_least"), F.max(h).alias("_most")).where("_least < _most")
+    several, _ = common.stored(several.select("doc_id", "_least"), "several-texts")
+    made = F.lit(_MADE) + F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2)
+    own = F.col("doc_id").isNotNull() & (F.col("_least").isNull() | (F.col("_least") == h))
+    return docs.join(several, "doc_id", "left").withColumn("_row", F.when(own, F.col("doc_id")).otherwise(made)).drop("_least")
+
+
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8), with or without an id; of rows that repeat an id, one."""
-    keyed = docs.withColumn("_row", F.coalesce("doc_id", F.lit(_MADE) + F.shiftrightunsigned(F.xxhash64("text"), 2)))
-    found = near_dedup.near_duplicates(keyed, id_col="_row").withColumnRenamed("doc_id", "_row")
-    gone = found.groupBy("_row").agg(F.bool_or("kept").alias("kept")).where("NOT kept")
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8); of rows that repeat id and text, one.
+
+    Texts are judged one by one, also those without an id and those that share
+    one. A group keeps its smallest doc_id; one without an id only if none has any.
+    """
+    keyed = _one_text_an_id(docs)
+    found, _ = common.stored(near_dedup.near_duplicates(keyed, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id"), "verdicts")
+    # A made id may stand for a smaller doc_id than the group's smallest _row.
+    made = keyed.where("doc_id IS NOT NULL AND doc_id <> _row").select("_row", "doc_id").distinct()
+    better = found.join(made, "_row").groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("_b")).where("_b.doc_id < component_id")
+    better, _ = common.stored(better.select("component_id", F.col("_b._row").alias("_best")), "better")
+    gone = found.join(better, "component_id", "left").where("_row <> COALESCE(_best, component_id)").select("_row").distinct()
     kept = keyed.join(gone, "_row", "left_anti")
     # Only ids found more than once are grouped; their rows are few, and the rest isn't shuffled for them.
-    twice, _ = common.stored(found.where("kept").groupBy("_row").count().where("count > 1").select("_row"), "repeated")
+    twice, _ = common.stored(found.groupBy("_row").count().where("count > 1").select("_row"), "repeated")
     if twice.isEmpty():
         return kept.select(*docs.columns)
-    one = kept.join(twice, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    one = kept.join(twice, "_row", "left_semi").dropDuplicates(["_row", "text"]).select(*docs.columns)
     return kept.join(twice, "_row", "left_anti").select(*docs.columns).unionByName(one)
 
 

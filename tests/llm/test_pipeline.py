@@ -88,6 +88,15 @@ def test_null_ids_are_judged_too(spark, sf):
     assert Counter((r.doc_id, r.text) for r in clean) == Counter([(None, a), (None, a), (5, b), (None, None)])
 
 
+def test_texts_that_share_an_id_are_judged_one_by_one(spark, sf):
+    a, b, c, d, e, f = some_texts(6)
+    rows = [(3, a), (5, a + " x"), (5, b), (6, c), (6, d), (6, d), (7, e), (7, e + " x"), (8, f), (8, c + " x"), (9, d + " x"), (9, d + " x")]
+    got = corpus_pipeline.dedup(spark, documents(spark, rows), sf).collect()
+    kept = Counter((r.doc_id, r.text) for r in got if r.doc_id != 7)
+    assert kept == Counter([(3, a), (5, b), (6, c), (6, d), (8, f)])
+    assert [r.text in (e, e + " x") for r in got if r.doc_id == 7] == [True]
+
+
 def test_hot_keys_lose_no_row(spark):
     left = spark.range(300).select((F.col("id") % 3 * (F.col("id") % 2)).alias("k"), F.col("id").alias("v")).unionByName(spark.createDataFrame([(None, 1000)], "k long, v long"))
     right = spark.createDataFrame([(0, "a"), (1, "b")], "k long, w string")
