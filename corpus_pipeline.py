@@ -93,9 +93,9 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens and the token ids of every text."""
-    out = bpe.encode(docs, keep=("lang", "source"))
-    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """doc_id, lang, source, n_tokens and the token ids of every text, and decoded_sha256 of what the ids decode to."""
+    out = bpe.encode(docs, keep=("lang", "source"), decoded=True)
+    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 STAGES = [

@@ -156,8 +156,8 @@ def _vocabulary(path: str | None) -> tuple[bytes, str]:
     return Path(path or public_tokenizers.path(VOCABULARY)).read_bytes(), public_tokenizers.PATTERN
 
 
-def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: doc_id, the columns in ``keep``, and ids (array of int)."""
+def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), decoded: bool = False) -> DataFrame:
+    """Per row: doc_id, the columns in ``keep``, and ids (array of int); with ``decoded``, also decoded_sha256 of what the ids decode to."""
     common.small_batches(docs.sparkSession)
     raw, pattern = _vocabulary(path)
 
@@ -165,11 +165,12 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
         ours = encoder(raw, pattern)
         for batch in batches:
             ids = [ours.encode(t or "") for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names[1:], "ids"])
+            back = [pa.array([sha256(ours.decode(i)).hexdigest() for i in ids], pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(ids, pa.list_(pa.int32())), *back], names=[*batch.schema.names[1:], "ids", *["decoded_sha256"] * decoded])
 
     chosen = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("doc_id"), *keep)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:])
-    return chosen.mapInArrow(common.lean(run), f"{kinds}, ids array<int>")
+    return chosen.mapInArrow(common.lean(run), f"{kinds}, ids array<int>" + ", decoded_sha256 string" * decoded)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter
+from hashlib import sha256
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,6 +98,12 @@ def test_texts_that_share_an_id_are_judged_one_by_one(spark, sf):
     assert [r.text in (e, e + " x") for r in got if r.doc_id == 7] == [True]
 
 
+def test_tokens_are_decoded(spark, sf):
+    rows = [(1, "é 漢字 \U0001f600 one"), (None, ""), (3, None)]
+    got = corpus_pipeline.tokens(spark, documents(spark, rows), sf).collect()
+    assert {(r.doc_id, r.decoded_sha256) for r in got} == {(i, sha256((t or "").encode()).hexdigest()) for i, t in rows}
+
+
 def test_hot_keys_lose_no_row(spark):
     left = spark.range(300).select((F.col("id") % 3 * (F.col("id") % 2)).alias("k"), F.col("id").alias("v")).unionByName(spark.createDataFrame([(None, 1000)], "k long, v long"))
     right = spark.createDataFrame([(0, "a"), (1, "b")], "k long, w string")
