@@ -67,10 +67,15 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of which a twentieth or more of the words lie in windows of benchmark items, with or without an id."""
+    """Drop documents in which any window of a benchmark item occurs, with or without an id.
+
+    A passage of a benchmark in a long text spoils a test as much as in a short
+    one, so the share of words that the operator's ``contaminated`` asks for
+    plays no part here.
+    """
     named = docs.withColumn("_text_id", F.xxhash64("text"))  # the verdict depends on the text alone
     found = decontaminate.decontaminate(named, common.table(spark, sf_dir, "benchmark"), id_col="_text_id")
-    gone = found.where("contaminated").select(F.col("doc_id").alias("_text_id")).distinct()
+    gone = found.where("n_hit > 0").select(F.col("doc_id").alias("_text_id")).distinct()
     return named.join(gone, "_text_id", "left_anti").select(*docs.columns)
 
 
