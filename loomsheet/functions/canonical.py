@@ -153,7 +153,7 @@ _LITERAL = re.compile(r"'.*'\Z|\d.*\Z|\.\d+\Z", re.S)
 
 
 class Writer:
-    """Writes nodes as Spark SQL. ``as_of``: the day that the functions of the current date see, as yyyy-MM-dd."""
+    """Writes nodes as Spark SQL. ``as_of``: the day that the functions of the current date see, as yyyy-MM-dd, with a time if need be."""
 
     def __init__(self, resolve: Resolve | None = None, as_of: str | None = None, guard: bool = True) -> None:
         self.resolve = resolve or (lambda parts: None)
@@ -161,27 +161,34 @@ class Writer:
 
     @property
     def today(self) -> str:
-        return f"DATE'{self.as_of}'" if self.as_of else "current_date()"
+        return f"DATE'{self.as_of[:10]}'" if self.as_of else "current_date()"
+
+    @property
+    def now(self) -> str:
+        return f"TIMESTAMP'{self.as_of}'" if self.as_of else "current_timestamp()"
 
     def write(self, nodes: list) -> str:
         out: list[str] = []
         k = 0
         while k < len(nodes):
             node = nodes[k]
-            if node == "/" and self.guard and k + 1 < len(nodes):
+            if node in ("/", "%") and self.guard and k + 1 < len(nodes):
                 divisor, k = self._primary(nodes, k + 1)
-                out += ["/", divisor if self._safe(divisor) else f"nullif({divisor}, 0)"]
+                out += [node, divisor if self._safe(divisor) else f"nullif({divisor}, 0)"]
                 continue
             if node == "=" and k + 1 < len(nodes) and isinstance(nodes[k + 1], Call) and nodes[k + 1].name.lower() == "last":
                 n, unit = self._last(nodes[k + 1])
                 left = out.pop()
-                out.append(f"({left} BETWEEN {self.today} - INTERVAL {n} {unit} AND {self.today})")
+                out.append(self.between_last(left, n, unit))
                 k += 2
                 continue
             made, k = self._primary(nodes, k)
             out.append(made)
         return " ".join(x for x in out if x)
 
+    def between_last(self, left: str, n: str, unit: str) -> str:
+        return f"({left} BETWEEN {self.today} - INTERVAL {n} {unit} AND {self.today})"
+
     def _primary(self, nodes: list, k: int) -> tuple[str, int]:
         """One operand or sign, and where the next begins. A dotted name is one operand, and so is what its subscript picks."""
         node = nodes[k]
@@ -205,14 +212,14 @@ class Writer:
             return self.call(node), k + 1
         if node == "-" and k + 1 < len(nodes) and (k == 0 or isinstance(nodes[k - 1], str) and nodes[k - 1] in "+-*/(,=<>"):
             made, k = self._primary(nodes, k + 1)
-            return f"-{made}", k
+            return f"- {made}" if made[0] == "-" else f"-{made}", k  # two signs side by side would begin a comment
         if _WORD.match(node) or node[0] in '"`':
             parts = [_bare(node)]
             while k + 2 < len(nodes) and nodes[k + 1] == "." and isinstance(nodes[k + 2], str):
                 parts.append(_bare(nodes[k + 2]))
                 k += 2
-            if node.lower() == "current_date" and len(parts) == 1:
-                return self.today, k + 1
+            if len(parts) == 1 and (now := self._clock(node.lower())):
+                return now, k + 1
             found = self.resolve(parts)
             if found is None and len(parts) == 1:
                 found = f"`{parts[0]}`" if node[0] == '"' else node
@@ -221,9 +228,15 @@ class Writer:
             return self.resolve([node]) or node, k + 1
         return node, k + 1
 
+    def _clock(self, name: str) -> str | None:
+        """What stands for the current date, time (as text) or timestamp."""
+        if name == "current_time":
+            return f"date_format({self.now}, 'HH:mm:ss')"
+        return {"current_date": self.today, "current_timestamp": self.now}.get(name)
+
     @staticmethod
     def _safe(divisor: str) -> bool:
-        return bool(_LITERAL.match(divisor)) and not re.fullmatch(r"[0.]+", divisor) or divisor.lower().startswith(("nullif(", "nullifzero("))
+        return bool(_LITERAL.match(divisor)) and not re.fullmatch(r"[0.]+([eE][+-]?\d+)?", divisor) or divisor.lower().startswith(("nullif(", "nullifzero("))
 
     def _last(self, call: Call) -> tuple[str, str]:
         args = [self.write(a) for a in call.args]
@@ -270,6 +283,10 @@ class Writer:
     def _fn_atan2(self, x, y):
         return f"atan2({y}, {x})"
 
+    def _fn_log(self, *args):
+        """Base 10, or of two arguments the first is the base."""
+        return f"log({args[0]}, {args[1]})" if len(args) == 2 else None
+
     def _fn_position(self, haystack, needle=None):
         return None if needle is None else f"instr({haystack}, {needle})"
 
@@ -322,6 +339,12 @@ class Writer:
     def _fn_current_date(self):
         return self.today
 
+    def _fn_current_time(self):
+        return self._clock("current_time")
+
+    def _fn_current_timestamp(self):
+        return self.now
+
     def _fn_element(self, array, index):
         return f"element_at({array}, {index})"
 

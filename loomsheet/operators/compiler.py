@@ -59,12 +59,16 @@ class Compiler:
 
     # Tables.
     def select(self, table: str, items: dict[str, str], where: str | None = None, as_of: str | None = None) -> DataFrame:
-        """Canonical expressions over one table."""
+        """Canonical expressions over one table; ``*`` or table.* stands for all of its columns, computed ones too, under their own names."""
         found = resolver(self.catalog, table)
         df = self.reader.scan(table)
         if where:
             df = df.where(rewrite(where, found, as_of))
-        return df.select(*[F.expr(rewrite(sql, found, as_of)).alias(name) for name, sql in items.items()])
+        out = []
+        for name, sql in items.items():
+            star = sql == "*" or sql.endswith(".*") and sql[:-2].lower() == table.lower()
+            out += [F.col(f"`{table}__{c.name}`").alias(c.name) for c in self.catalog.table(table).columns] if star else [F.expr(rewrite(sql, found, as_of)).alias(name)]
+        return df.select(*out)
 
     def joined(self, plan: RootPlan) -> DataFrame:
         """The root with every table that the plan needs."""
@@ -198,7 +202,8 @@ class Compiler:
         inner = self.compile(Query(tuple(dims) + tuple(dict.fromkeys(measures)), where=c, as_of=q.as_of, grain=q.grain), blocks)
         if not dims:
             return df.join(inner.select(F.lit(1).alias("_one")).limit(1), how="left_semi")
-        return df.join(inner.select(*[F.col(slug(d)).alias(keys[d]) for d in dims]), [keys[d] for d in dims], "left_semi")
+        inner = inner.select(*[F.col(slug(d)).alias(f"_k{k}") for k, d in enumerate(dims)])
+        return df.join(inner, reduce(lambda a, b: a & b, [F.col(keys[d]).eqNullSafe(F.col(f"_k{k}")) for k, d in enumerate(dims)]), "left_semi")
 
     def _root(self, p: RootPlan, q: Query, keys, early, inner, rows, sets: list[SetFilter], blocks) -> DataFrame:
         """One root's groups: keys and base measures."""
@@ -220,17 +225,18 @@ class Compiler:
                 other = blocks[s.block].select(*[F.col(slug(d)).alias(f"_s{k}_{i}") for i, d in enumerate(s.on)])
                 df = df.join(other, reduce(lambda a, b: a & b, on), "left_anti" if s.exclude else "left_semi")
         mine = [n for n in keys if n in served or n in early and all(self.catalog.field(i).name in served for _, i in references(early[n].formula))]
-        for extra in p.crossed:
-            got = [n for n in keys if n in extra.paths]
-            side = self.joined(extra).select(*[F.expr(self._field_sql(extra, n, q.as_of)).alias(keys[n]) for n in got]).distinct()
-            df = df.crossJoin(side)
-            mine += [n for n in got if n not in mine]
-        crossed = {n for e in p.crossed for n in e.paths}
-        key_columns = [F.col(keys[n]) if n in crossed else F.expr(over_fields(early[n].formula) if n in early else self._field_sql(p, n, q.as_of)).alias(keys[n]) for n in mine]
+        key_columns = [F.expr(over_fields(early[n].formula) if n in early else self._field_sql(p, n, q.as_of)).alias(keys[n]) for n in mine]
         measures = [F.expr(self._field_sql(p, m, q.as_of)).alias(inner[m]) for m in p.measures]
         if not measures:
-            return df.select(*key_columns)
-        return df.groupBy(*key_columns).agg(*measures) if key_columns else df.agg(*measures)
+            df = df.select(*key_columns)
+        else:
+            df = df.groupBy(*key_columns).agg(*measures) if key_columns else df.agg(*measures)
+        # Dimensions that the root can't reach are crossed with its groups, not with its rows.
+        for extra in p.crossed:
+            got = [n for n in keys if n in extra.paths and n not in mine]
+            df = df.crossJoin(self.joined(extra).select(*[F.expr(self._field_sql(extra, n, q.as_of)).alias(keys[n]) for n in got]).distinct())
+            mine += got
+        return df
 
     def _over_fields(self, text: str, p: RootPlan, as_of: str | None) -> str:
         def found(parts: list[str]) -> str | None:
@@ -240,11 +246,11 @@ class Compiler:
         return rewrite(text, found, as_of)
 
     def _merged(self, parts: list[tuple[RootPlan, DataFrame]], keys: dict[str, str]) -> DataFrame:
-        """Roots joined on the dimensions they share, each row of either side kept; without shared ones, all with all."""
+        """Roots joined on the dimensions they share, each row of either side kept, null keys meeting; without shared ones, all with all."""
         _, df = parts[0]
         for _, other in parts[1:]:
             shared = [c for c in keys.values() if c in df.columns and c in other.columns]
-            df = df.join(other, shared, "full") if shared else df.crossJoin(other)
+            df = merged(df, other, shared) if shared else df.crossJoin(other)
         for c in keys.values():
             if c not in df.columns:
                 df = df.withColumn(c, F.lit(None).cast("string"))
@@ -294,6 +300,16 @@ class Compiler:
         return df.orderBy(*[sort_column(F.col(lower[o[0].lower()]), *o[1:]) for o in order])
 
 
+def merged(left: DataFrame, right: DataFrame, shared: list[str], how: str = "full") -> DataFrame:
+    """Two results joined on columns that both have; null meets null, and a key is that of whichever side has the row."""
+    right = right.withColumnsRenamed({c: f"_r_{c}" for c in shared})
+    both = left.join(right, reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[f"_r_{c}"]) for c in shared]), how)
+    if how in ("left_semi", "left_anti"):
+        return both
+    keys = {c: F.coalesce(left[c], right[f"_r_{c}"]) for c in shared}
+    return both.select(*[keys[c].alias(c) if c in keys else left[c] for c in left.columns], *[right[c] for c in right.columns if not c.startswith("_r_") or c[3:] not in keys])
+
+
 def sort_column(c: Column, way: str = "asc", nulls: str | None = None) -> Column:
     end = {None: "", "nulls first": "_nulls_first", "nulls last": "_nulls_last"}[nulls.lower() if nulls else None]
     return getattr(c, way.lower() + end)()

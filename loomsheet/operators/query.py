@@ -73,27 +73,43 @@ class Query:
 
 @dataclass(frozen=True)
 class BlockJoin:
-    """``how``: inner, left, right, full, cross, left_semi or left_anti; on the items that both blocks have as dimensions unless ``on`` is given."""
+    """``how``: inner, left, right, full, cross, left_semi or left_anti.
+
+    ``on``: items that both blocks have, or pairs of an item of the source (or
+    of a block joined before) and one of this block. It may also be text, pairs
+    of ``@[block].[item] = @[block].[item]`` joined by ``and``. By default the
+    items that both have as dimensions. Null meets null.
+    """
 
     block: str
     how: str = "full"
-    on: tuple[str, ...] | None = None
+    on: tuple[str | tuple[str, str], ...] | str | None = None
 
 
 @dataclass(frozen=True)
 class Block:
     """A named step of a report.
 
-    Either a ``query``, or free ``sql`` over earlier blocks, or a selection from
-    the earlier block ``source`` and those joined to it. Where a selection leaves
-    out dimensions of its source, measures are aggregated again: by ``again``
-    (item to sum, max, min, count or avg), else by sum.
+    Either a ``query``, or free ``sql`` over earlier blocks, or ``values`` (rows,
+    with ``columns`` naming them), or a selection from the earlier block
+    ``source`` and those joined to it, where ``*`` and ``@[block].*`` stand for
+    all items. ``dims`` says which columns of SQL or values are dimensions; else
+    it is those that are dimensions of an earlier block, and texts and dates.
+
+    Where a selection leaves out dimensions, measures are aggregated again: by
+    ``again`` (item to sum, max, min, count or avg) over all joined rows. Without
+    it, each value of a block counts once, however often the join repeats it:
+    sums and counts are added, of least and greatest values the least and
+    greatest is taken; other measures, as averages, can't be aggregated again.
     """
 
     name: str
     query: Query | None = None
     sql: str | None = None
     source: str | None = None
+    values: tuple[tuple, ...] | None = None
+    columns: tuple[str, ...] = ()
+    dims: tuple[str, ...] | None = None
     joins: tuple[BlockJoin, ...] = ()
     select: tuple = ()
     where: object = None

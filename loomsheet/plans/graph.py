@@ -8,6 +8,7 @@ Against that direction lie roll-down paths, which do repeat rows.
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 from loomsheet.model import Cardinality, Catalog, Expressible, FieldExpression, Join, TableType
@@ -32,6 +33,17 @@ class Path:
         return self.tables[-1]
 
 
+#: Paths from one table to another that are weighed.
+PATHS = 8
+
+
+class _Joins(tuple):
+    """Joins of a path; two paths of one cost and the same tables stay in the order they were found."""
+
+    def __lt__(self, other) -> bool:
+        return False
+
+
 class Graph:
     def __init__(self, catalog: Catalog) -> None:
         self.catalog = catalog
@@ -50,14 +62,18 @@ class Graph:
         return sorted(((a, j) for a, of in self.down.items() for b, j in of if b == table), key=lambda x: x[0])
 
     def _walk(self, start: str, step) -> list[tuple[tuple[str, ...], tuple[Join, ...]]]:
-        """All simple paths from a table, itself first."""
-        found, stack = [], [((start,), ())]
-        while stack:
-            tables, joins = stack.pop()
+        """Simple paths from a table, itself first, cheapest first; to each table the ``PATHS`` cheapest, so dense models don't multiply them."""
+        found, reached = [], {}
+        heap = [(0, 0, (start,), ())]
+        while heap:
+            cost, hops, tables, joins = heapq.heappop(heap)
+            n = reached[tables[-1]] = reached.get(tables[-1], 0) + 1
+            if n > PATHS:
+                continue
             found.append((tables, joins))
-            for nxt, j in reversed(step(tables[-1])):
+            for nxt, j in step(tables[-1]):
                 if nxt not in tables:
-                    stack.append(((*tables, nxt), (*joins, j)))
+                    heapq.heappush(heap, (cost + self.catalog.join_cost(j), hops + 1, (*tables, nxt), _Joins((*joins, j))))
         return found
 
     def _path(self, x: Expressible, e: FieldExpression, tables, joins) -> Path:
@@ -88,5 +104,17 @@ class Graph:
         roots = set.intersection(*(self.reaches(x) for x in chosen)) if chosen else set(t.name for t in self.catalog.tables.values())
         return sorted(x.name for x in self.catalog.fields.values() if x.name not in {c.name for c in chosen} and self.reaches(x) & roots)
 
+    def universe(self, names: list[str]) -> tuple[list[str], dict[str, list[str]]]:
+        """What can be added to the named fields: those of one root with all of them; and for each further measure, which gets a root of its own, the dimensions it shares with the measures named."""
+        same = self.compatible(names)
+        chosen = [self.catalog.field(n) for n in names]
+        roots = [self.reaches(x) for x in chosen if x in self.catalog.measures()]
+        if not roots:
+            return same, {}
+        dims = [d for d in self.catalog.dimensions() if all(self.reaches(d) & r for r in roots)]
+        others = [m for m in self.catalog.measures() if not m.virtual and m.name not in same and m not in chosen]
+        found = {m.name: sorted(d.name for d in dims if self.reaches(d) & self.reaches(m)) for m in others}
+        return same, {m: d for m, d in found.items() if d}
+
     def is_fact(self, table: str) -> bool:
         return self.catalog.table(table).kind is TableType.FACT

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,45 @@ def sample_file(spark: SparkSession, path: str, rows: int = 100, **options: str)
     return spark.read.options(**({"header": "true", "inferSchema": "true"} | options)).csv(path).limit(rows)
 
 
+def test_source(spark: SparkSession, source: DataSource) -> bool:
+    """Whether a datasource answers: a database runs a query, a catalog lists its tables, a folder of files is there."""
+    options = dict(source.options)
+    try:
+        if source.kind == "jdbc":
+            return spark.read.format("jdbc").options(**options, query=options.pop("test_query", "SELECT 1 AS one")).load().count() == 1
+        if source.kind == "table":
+            spark.catalog.listTables(options.get("schema"))
+            return True
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(options.get("path", "."))
+        return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    except Exception:  # noqa: BLE001 - whatever a driver raises, the source doesn't answer
+        return False
+
+
+def sniffed(spark: SparkSession, path: str, lines: int = 50) -> dict[str, str]:
+    """The delimiter and whether there is a header, from a file's first lines. Compressed files are read as well."""
+    rows = [r.value for r in spark.read.text(path).limit(lines).collect() if r.value.strip()]
+    plain = [re.sub(r'"[^"]*"', "", r) for r in rows]
+
+    def fit(d: str) -> tuple[int, int]:
+        counts = [r.count(d) for r in plain]
+        return (min(counts, default=0) > 0 and len(set(counts)) == 1, min(counts, default=0))
+
+    best = max(",;\t|", key=fit)
+    head = [x.strip('" ') for x in rows[0].split(best)] if rows else []
+    named = bool(head) and all(x and not re.fullmatch(r"[-+]?[\d.,:/ -]+", x) for x in head) and len(set(head)) == len(head)
+    return {"sep": best, "header": str(named).lower()}
+
+
+def file_rows(spark: SparkSession, path: str, **options: str) -> int:
+    """Rows of a delimited file, counted by all executors."""
+    return spark.read.options(**({"header": "true"} | options)).csv(path).count()
+
+
+#: Tables that are imported at the same time.
+IMPORTED_AT_ONCE = 8
+
+
 def table_type(columns) -> TableType:
     """From the keys: one primary and no foreign key, or something mixed: a dimension; only foreign keys: a bridge; foreign keys and values, or no keys: a fact."""
     primary = sum(c.key is KeyType.PRIMARY for c in columns)
@@ -116,28 +156,41 @@ def detect_join(left: Table, right: Table, left_df: DataFrame, right_df: DataFra
     return Join(left.name, right.name, sql, cardinality(left_df, right_df, [a for a, _ in close], [b for _, b in close]))
 
 
-def _sample(df: DataFrame, column: str, n: int) -> DataFrame:
-    return df.select(F.col(f"`{column}`").alias("v")).where("v IS NOT NULL").distinct().limit(n)
+#: Rows from which sampled values are taken.
+SAMPLED_ROWS = 10_000
+
+
+def _samples(df: DataFrame, columns: list[str], n: int) -> dict[str, list]:
+    """Up to ``n`` different values of each column, of the first rows: one small job."""
+    rows = df.select(*[F.col(f"`{c}`") for c in columns]).limit(SAMPLED_ROWS).collect()
+    return {c: list(dict.fromkeys(r[k] for r in rows if r[k] is not None))[:n] for k, c in enumerate(columns)}
 
 
-def _found(values: DataFrame, df: DataFrame, column: str) -> int:
-    return values.join(df.select(F.col(f"`{column}`").alias("v")), "v", "left_semi").count()
+def _found(samples: dict[str, list], df: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str, str], int]:
+    """For each pair, how many of the sampled values of the first occur in the second column: one scan of the needed columns."""
+    pairs = [p for p in pairs if samples[p[0]]]
+    if not pairs:
+        return {}
+    seen = [F.count_distinct(F.when(F.col(f"`{b}`").isin(samples[a]), F.col(f"`{b}`"))) for a, b in pairs]
+    return dict(zip(pairs, df.agg(*seen).first(), strict=True))
 
 
 def _by_key(left: Table, right: Table, left_df, right_df, pairs, n: int) -> list[tuple[str, str]]:
-    for a, b in pairs:
-        if a.key is KeyType.PRIMARY and _found(_sample(left_df, a.name, n), right_df, b.name) or b.key is KeyType.PRIMARY and _found(_sample(right_df, b.name, n), left_df, a.name):
-            return [(a.name, b.name)]
-    return []
+    """The first pair of which one column is a primary key with values in the other."""
+    ours = [(a.name, b.name) for a, b in pairs if a.key is KeyType.PRIMARY]
+    theirs = [(b.name, a.name) for a, b in pairs if b.key is KeyType.PRIMARY]
+    hits = _found(_samples(left_df, sorted({a for a, _ in ours}), n), right_df, ours) if ours else {}
+    back = _found(_samples(right_df, sorted({b for b, _ in theirs}), n), left_df, theirs) if theirs else {}
+    return next(([(a.name, b.name)] for a, b in pairs if hits.get((a.name, b.name)) or back.get((b.name, a.name))), [])
 
 
 def _by_overlap(left_df, right_df, pairs, n: int) -> list[tuple[str, str]]:
+    samples = _samples(left_df, sorted({a.name for a, _ in pairs}), 10 * n) if pairs else {}
+    hits = _found(samples, right_df, [(a.name, b.name) for a, b in pairs])
     best = (0.1, None)
-    for a, b in pairs:
-        values = _sample(left_df, a.name, 10 * n)
-        share = _found(values, right_df, b.name) / max(1, values.count())
-        if share > best[0]:
-            best = (share, (a.name, b.name))
+    for (a, b), found in hits.items():
+        if found / len(samples[a]) > best[0]:
+            best = (found / len(samples[a]), (a, b))
     return [best[1]] if best[1] else []
 
 
@@ -208,8 +261,10 @@ def generate(name: str, frames: dict[str, DataFrame], primary: dict[str, tuple[s
     """A catalog for tables. Into an existing one, tables are refreshed and fields merged. ``detect`` seeks joins that no key declares."""
     catalog = into or Catalog(Project(name)).add(DataSource(name))
     made = []
-    for t, df in frames.items():
-        new = import_table(t, df, (primary or {}).get(t, ()), (foreign or {}).get(t), name)
+    with ThreadPoolExecutor(IMPORTED_AT_ONCE) as pool:  # a job a table counts its rows
+        tables = pool.map(lambda t: import_table(t, frames[t], (primary or {}).get(t, ()), (foreign or {}).get(t), name), frames)
+        tables = list(tables)
+    for t, new in zip(frames, tables, strict=True):
         old = catalog.tables.get(t.lower())
         made.append(refreshed(old, new) if old else new)
     catalog.add(*made)
