@@ -157,8 +157,10 @@ def _vocabulary(path: str | None) -> tuple[bytes, str]:
 
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), decoded: bool = False) -> DataFrame:
-    """Per row: doc_id, the columns in ``keep``, and ids (array of int); with ``decoded``, also decoded_sha256 of what the ids decode to."""
-    common.small_batches(docs.sparkSession)
+    """Per row: doc_id, the columns in ``keep``, and ids (array of int); with ``decoded``, also decoded_sha256 of what the ids decode to.
+
+    A column in ``keep`` that is named like one of the others gets a leading underscore.
+    """
     raw, pattern = _vocabulary(path)
 
     def run(batches):
@@ -168,14 +170,13 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
             back = [pa.array([sha256(ours.decode(i)).hexdigest() for i in ids], pa.string())] if decoded else []
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(ids, pa.list_(pa.int32())), *back], names=[*batch.schema.names[1:], "ids", *["decoded_sha256"] * decoded])
 
-    chosen = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("doc_id"), *keep)
+    chosen = docs.select(F.col(text_col).alias("_text_"), F.col(id_col).alias("doc_id"), *common.kept(keep, ("doc_id", "ids", "decoded_sha256")))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:])
-    return chosen.mapInArrow(common.lean(run), f"{kinds}, ids array<int>" + ", decoded_sha256 string" * decoded)
+    return common.in_batches(chosen, run, f"{kinds}, ids array<int>" + ", decoded_sha256 string" * decoded)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """``encoded``: doc_id, ids. Returns doc_id and the decoded bytes; a null list decodes to nothing."""
-    common.small_batches(encoded.sparkSession)
     raw, pattern = _vocabulary(path)
 
     def run(batches):
@@ -184,7 +185,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             out = [ours.decode(ids or ()) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(common.lean(run), "doc_id long, decoded binary")
+    return common.in_batches(encoded.select("doc_id", "ids"), run, "doc_id long, decoded binary")
 
 
 def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", remembered: int = 5 * REMEMBERED) -> DataFrame:
@@ -192,7 +193,6 @@ def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
 
     Workers that do nothing else can remember more pre-tokens: by default up to a million, in about 250 MB.
     """
-    common.small_batches(docs.sparkSession)
     raw, pattern = _vocabulary(path)
 
     def run(batches):
@@ -207,7 +207,7 @@ def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(common.lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return common.in_batches(chosen, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

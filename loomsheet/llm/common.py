@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,45 +23,74 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the memory that one Arrow batch of texts takes in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+def pieces(batch: pa.RecordBatch, rows: int = BATCH_ROWS, most: int = BATCH_BYTES):
+    """The batch in parts of ``rows`` rows and ``most`` bytes at most; a row of more is a part of its own."""
+    at = 0
+    while at < batch.num_rows:
+        n = min(rows, batch.num_rows - at)
+        while n > 1 and batch.slice(at, n).nbytes > most:
+            n //= 2
+        yield batch.slice(at, n)
+        at += n
 
 
-def lean(run):
-    """``run``, a function over Arrow batches, giving back at its end what Arrow holds: a worker serves many tasks, and keeps it otherwise."""
+def in_batches(df: DataFrame, run, schema: str, rows: int = BATCH_ROWS, most: int = BATCH_BYTES) -> DataFrame:
+    """``df.mapInArrow`` with ``run`` over small batches, which bounds what a worker makes of one; Spark itself sends 64 MB at once at most.
+
+    At its end a worker, which serves many tasks, gives back what Arrow holds.
+    """
 
     def inner(batches):
-        yield from run(batches)
+        yield from run(p for b in batches for p in pieces(b, rows, most))
         pa.default_memory_pool().release_unused()
 
-    return inner
+    return df.mapInArrow(inner, schema)
+
+
+@cache
+def _temporary() -> str:
+    folder = tempfile.mkdtemp(prefix="loomsheet-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def kept(names: tuple[str, ...], made: tuple[str, ...]) -> list:
+    """Columns to pass on beside those that an operator makes: one whose name is taken gets a leading underscore, or as many as it needs."""
+    out, used = [], {n.lower() for n in made}
+    for name in names:
+        new = name
+        while new.lower() in used:
+            new = f"_{new}"
+        used.add(new.lower())
+        out.append(F.col(f"`{name}`").alias(new))
+    return out
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary one serves a local master; a cluster must name its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="loomsheet-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = _temporary()
     return found.rstrip("/")
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
 def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path that ``stored`` made."""
+    """Delete a path that ``stored`` or ``made_folder`` made."""
     jvm = spark.sparkContext._jvm
     if jvm is not None:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-_made: list[tuple[SparkSession, str]] = []
+    _made[:] = [m for m in _made if m[1] != path]
 
 
 @atexit.register
 def _sweep() -> None:
-    for spark, path in _made:
+    for spark, path in list(_made):
         try:
             remove(spark, path)
         except Exception:  # noqa: BLE001 - the session has ended; nothing is left to ask
@@ -78,23 +109,35 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-#: Rows of one key from which a lookup splits it, and rows in each part.
+def made_folder(spark: SparkSession, name: str) -> str:
+    """A new, empty folder for files in the shared folder; it goes when the process ends."""
+    path = f"{shared_dir(spark)}/loomsheet-{name}-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
+    _made.append((spark, path))
+    return path
+
+
+#: Rows of one key from which a lookup splits it, and rows in each part, at least.
 HOT_ROWS = 20_000
-#: The hottest keys that a lookup salts; the others stay whole, whatever their size, and lose no row either.
+#: The most frequent keys that a lookup may salt.
 HOT_KEYS = 1000
 
 
-def hot_lookup(left: DataFrame, right: DataFrame, key: str, salt_by: str, how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+def hot_lookup(left: DataFrame, right: DataFrame, key: str, salt_by: str, how: str = "inner", hot_rows: int = HOT_ROWS, counts: DataFrame | None = None) -> DataFrame:
     """``left`` joined to ``right``, which has few rows per key, on the column ``key``.
 
-    Keys with over ``hot_rows`` rows on the left are salted by a hash of
-    ``salt_by``: their left rows are spread over parts of about that size and
-    their right rows are repeated for each part. ``left`` is read twice, so it
-    should be cheap to make. The salted keys are at most HOT_KEYS rows, which
-    bounds what is broadcast.
+    Keys with over ``hot_rows`` rows on the left, the ``HOT_KEYS`` most frequent
+    of them, are salted by a hash of ``salt_by``: their left rows are spread over
+    parts of about that size and their right rows are repeated for each part.
+    Any other key has under a thousandth of all rows, as a thousand keys have
+    no fewer each; so no task gets more than that, and what is broadcast is
+    bounded. ``left`` is read twice unless ``counts`` has the rows of each key
+    (key, count), so it should be cheap to make.
     """
-    hot = left.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > hot_rows)
-    found = hot.orderBy(F.desc("count")).limit(HOT_KEYS).collect()
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).count() if counts is None else counts
+    frequent = counts.where(F.col("count") > hot_rows)
+    found = frequent.orderBy(F.desc("count"), key).limit(HOT_KEYS).collect()
     if not found:
         return left.join(right, key, how)
     spark, kind = left.sparkSession, left.schema[key].dataType.simpleString()

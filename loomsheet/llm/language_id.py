@@ -90,7 +90,6 @@ def build(shares: list[tuple[str, np.ndarray]], slot_bits: int) -> Model:
 
 def fit(labelled: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from rows with a text, a language and an id. What is collected is bounded by ``per_language`` texts of each language."""
-    common.small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
     rows = rows.where("i IS NOT NULL AND t IS NOT NULL AND l IS NOT NULL")
     order = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i")
@@ -110,7 +109,7 @@ def fit(labelled: DataFrame, settings: Settings = Settings(), id_col: str = "doc
                 found, n = np.append(found.astype(np.int64), -1), np.append(n, len(mine))  # -1: the texts themselves
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), pa.array(found), pa.array(n, pa.int64())], names=["l", "g", "n"])
 
-    counts = sample.mapInArrow(common.lean(count), "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).where("n > 1 OR g = -1").toPandas()
+    counts = common.in_batches(sample, count, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).where("n > 1 OR g = -1").toPandas()
     texts = counts[counts.g < 0].set_index("l").n
     counts = counts[counts.g >= 0].copy()
     counts["share"] = counts.n / counts.l.map(texts)
@@ -120,8 +119,10 @@ def fit(labelled: DataFrame, settings: Settings = Settings(), id_col: str = "doc
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: doc_id, lang_pred, score, and the columns in ``keep``. The score is the corrected share of n-grams that the language knows."""
-    common.small_batches(docs.sparkSession)
+    """Per row: doc_id, lang_pred, score, and the columns in ``keep``. The score is the corrected share of n-grams that the language knows.
+
+    A column in ``keep`` that is named like one of the others gets a leading underscore.
+    """
 
     def run(batches):
         for batch in batches:
@@ -129,9 +130,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             columns = [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *batch.columns[2:]]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", *batch.schema.names[2:]])
 
-    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *keep)
+    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text_"), *common.kept(keep, ("doc_id", "lang_pred", "score", "_text_")))
     kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[2:])
-    return chosen.mapInArrow(common.lean(run), f"doc_id {chosen.schema[0].dataType.simpleString()}, lang_pred string, score double{kinds}")
+    return common.in_batches(chosen, run, f"doc_id {chosen.schema[0].dataType.simpleString()}, lang_pred string, score double{kinds}")
 
 
 def decide(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
