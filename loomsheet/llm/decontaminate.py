@@ -1,52 +1,58 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
 The index is split by document: a shard holds, for some hundreds of whole
-texts, the postings (places of the words) of every term that the test items
-use. Words that no item uses are of no use to a search and are not posted.
-Shards are written to the shared folder, so a lost executor costs a re-read.
+texts, the postings (places of the words) of every term in them. It knows
+nothing of the test items, so one index serves any number of searches. Shards
+are written to the shared folder, so a lost executor costs a re-read.
 
 A search takes each window of each item, starts from the postings of its
-rarest term in the shard, shifts them by the term's offset and intersects them
-with the postings of the terms beside it, nearest first. A window none of whose
-places survive is dropped at once. ``exact`` finds phrases word for word.
-``near`` finds windows most of whose words lie close to their places; as words
-may be missing, it starts from several of a window's rarest terms. No posting
-is ever shuffled.
+rarest term in the shard, and intersects them with the postings of the terms
+beside it, nearest first, each list shifted by its term's offset. A window one
+of whose terms the shard lacks, or none of whose places survive, is dropped at
+once. ``exact`` finds phrases word for word. ``near`` finds windows most of
+whose words lie close to their places; as words may be missing, it starts from
+several of a window's rarest terms. No posting is ever shuffled.
 
-Test items are taken in blocks of bounded size; a block is sent to all
-executors, and the blocks' results are merged by document.
+Terms are 64-bit hashes of words. Test items are taken in blocks of bounded
+size; a block is sent to all executors, and the blocks' results are merged by
+document.
 
 Null texts have no words. Items without words are ignored; words hit by an
 item whose id is null count, but such an item is not listed. Rows that repeat
-are judged row by row.
+are judged row by row. Other columns are never read. Without documents there
+are no rows, without items no hits.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import lru_cache
-from hashlib import blake2b, sha256
-from itertools import repeat
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsheet.llm import common
+from loomsheet.llm import common, vector
 
 WINDOW = 13
 #: Bytes of item texts in one block.
 BLOCK_BYTES = 16 << 20
-#: Texts in one shard.
+#: Texts in one shard, at most.
 SHARD_ROWS = 512
+#: Bytes of a text's digest, the beginning of its SHA-256.
+DIGEST = 16
 
-_KEPT = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isdigit() or 97 <= c <= 122 else 32 for c in range(256))
+#: Bytes between words: ASCII other than digits and letters.
+_APART = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
 
-def words(text: bytes) -> list[bytes]:
-    """The words of a text in UTF-8: runs of digits, letters (A-Z lower-cased) and characters beyond ASCII."""
-    return text.translate(_KEPT).split()
+def _terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of all texts in order, A-Z lower-cased, and where each text's begin (len + 1)."""
+    data, offsets = vector.buffers(texts)
+    starts, ends, first = vector.words(data, offsets, _APART)
+    return vector.word_hashes(data, starts, ends), first
 
 
 @dataclass(frozen=True)
@@ -54,7 +60,7 @@ class Queries:
     """Items as places in one array of term numbers, with gaps between them."""
 
     ids: tuple
-    vocabulary: dict
+    vocabulary: np.ndarray  # term numbers count these, sorted
     flat: np.ndarray
     item_of: np.ndarray
     windows: dict  # length: places of the windows of that length
@@ -69,81 +75,91 @@ _TRIED = 1 << 16
 @lru_cache(maxsize=2)
 def queries(items: tuple[tuple[int | None, bytes], ...]) -> Queries:
     """``items``: (item_id, text)."""
-    vocabulary: dict[bytes, int] = {}
-    ids, flat, item_of, need, windows = [], [-2] * _GAP, [-1] * _GAP, [0] * _GAP, {}
-    for item_id, text in items:
-        ws = words(text)
-        if not ws:
-            continue
-        size = min(WINDOW, len(ws))
-        windows.setdefault(size, []).extend(range(len(flat), len(flat) + len(ws) - size + 1))
-        flat += [vocabulary.setdefault(w, len(vocabulary)) for w in ws] + [-2] * _GAP
-        item_of += [len(ids)] * len(ws) + [-1] * _GAP
-        need += [size] * len(ws) + [0] * _GAP
-        ids.append(item_id)
-    arrays = {k: np.array(v, np.int64) for k, v in windows.items()}
-    return Queries(tuple(ids), vocabulary, np.array(flat, np.int32), np.array(item_of, np.int64), arrays, np.array(need, np.int64))
-
-
-INDEX = "doc_ids array<long>, digests array<binary>, starts array<int>, terms array<int>, firsts array<int>, postings array<int>"
-
-
-def build_index(docs: DataFrame, items: tuple, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    terms, first = _terms(pa.array([t for _, t in items], pa.large_binary()))
+    vocabulary, number = np.unique(terms, return_inverse=True)
+    sizes = np.diff(first)
+    full = np.flatnonzero(sizes)
+    begin = _GAP + np.cumsum(sizes[full] + _GAP) - (sizes[full] + _GAP)  # of each item that has words
+    total = _GAP + int((sizes[full] + _GAP).sum())
+    flat, item_of, need = np.full(total, -2, np.int64), np.full(total, -1, np.int64), np.zeros(total, np.int64)
+    windows: dict[int, list[np.ndarray]] = {}
+    for k, (i, at) in enumerate(zip(full.tolist(), begin.tolist(), strict=True)):
+        n = int(sizes[i])
+        size = min(WINDOW, n)
+        flat[at : at + n] = number[first[i] : first[i + 1]]
+        item_of[at : at + n], need[at : at + n] = k, size
+        windows.setdefault(size, []).append(np.arange(at, at + n - size + 1))
+    return Queries(tuple(items[i][0] for i in full.tolist()), vocabulary, flat, item_of, {k: np.concatenate(v) for k, v in windows.items()}, need)
+
+
+INDEX = "doc_ids array<long>, digests array<binary>, starts array<int>, terms array<long>, firsts array<int>, postings array<int>"
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per shard.
 
     doc_ids and digests are of its documents; starts[k] is the place of document
     k's first word, and one place stays free after each document. The postings
-    of terms[k] are postings[firsts[k]:firsts[k + 1]].
+    of terms[k], places in order, are postings[firsts[k]:firsts[k + 1]].
     """
-    spark = docs.sparkSession
-    common.small_batches(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(SHARD_ROWS))
-    kind = [("doc_ids", pa.int64()), ("digests", pa.binary()), ("starts", pa.int32()), ("terms", pa.int32()), ("firsts", pa.int32()), ("postings", pa.int32())]
+    kind = [("doc_ids", pa.int64()), ("digests", pa.binary()), ("starts", pa.int32()), ("terms", pa.int64()), ("firsts", pa.int32()), ("postings", pa.int32())]
 
     def run(batches):
-        get = queries(items).vocabulary.get
         for batch in batches:
-            starts, parts, digests = [0], [], []
-            for text in batch.column(1).cast(pa.large_binary()).to_pylist():
-                ws = words(text or b"")
-                parts += [np.fromiter(map(get, ws, repeat(-1)), np.int32, len(ws)), np.full(1, -1, np.int32)]
-                starts.append(starts[-1] + len(ws) + 1)
-                digests.append(blake2b(text or b"", digest_size=12).digest())
-            flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-            places = np.flatnonzero(flat >= 0)
-            places = places[np.argsort(flat[places], kind="stable")]
-            terms, firsts = np.unique(flat[places], return_index=True)
-            firsts = np.append(firsts, len(places))
-            values = [batch.column(0).cast(pa.int64()), pa.array(digests, pa.binary()), *(pa.array(x, pa.int32()) for x in (np.array(starts), terms, firsts, places))]
+            h, first = _terms(batch.column(1))
+            digests = [sha256(t or b"").digest()[:DIGEST] for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
+            n = np.arange(batch.num_rows + 1)
+            places = np.arange(len(h)) + np.repeat(n[:-1], np.diff(first))
+            order = np.argsort(h, kind="stable")
+            terms, firsts = np.unique(h[order], return_index=True)
+            firsts = np.append(firsts, len(h))
+            arrays = (first + n, terms.view(np.int64), firsts, places[order])
+            values = [batch.column(0).cast(pa.int64()), pa.array(digests, pa.binary()), *(pa.array(x, t) for x, (_, t) in zip(arrays, kind[2:], strict=True))]
             lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in values]
             yield pa.RecordBatch.from_arrays(lists, names=[k for k, _ in kind])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(common.lean(run), INDEX)
+    return common.in_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, INDEX, rows=SHARD_ROWS)
+
+
+_PLACE = 1 << 32
 
 
 class Shard:
-    """A shard's postings, and as their inverse the term at every place."""
-
-    def __init__(self, starts, terms, firsts, postings, n_terms: int) -> None:
-        self.starts, self.postings = starts.astype(np.int64), postings.astype(np.int64) + _GAP
-        self.flat = np.full(int(starts[-1]) + 2 * _GAP, -1, np.int32)
-        self.flat[self.postings] = np.repeat(terms, np.diff(firsts))
-        self.count = np.zeros(n_terms + 2, np.int64)  # the last two, found as -2 and -1, are for gaps
-        self.count[terms] = np.diff(firsts)
-        self.first = np.zeros(n_terms + 2, np.int64)
-        self.first[terms] = firsts[:-1]
-
-    def rarest(self, q: Queries) -> tuple[np.ndarray, np.ndarray]:
-        """Windows all of whose terms are in the shard: their places, and the place of the rarest term of each."""
+    """A shard's postings of the terms that the items have, as sorted pairs of term number and place."""
+
+    def __init__(self, q: Queries, starts, terms, firsts, postings) -> None:
+        self.starts, terms = starts.astype(np.int64), terms.view(np.uint64)
+        n = len(q.vocabulary)
+        at = np.searchsorted(terms, q.vocabulary)
+        there = np.flatnonzero(at < len(terms))
+        there = there[terms[at[there]] == q.vocabulary[there]]
+        self.count = np.zeros(n + 2, np.int64)  # the last two, found as -2 and -1, are for gaps
+        self.count[there] = np.diff(firsts)[at[there]]
+        self.first = np.zeros(n + 2, np.int64)
+        self.first[:n] = np.cumsum(self.count[:n]) - self.count[:n]
+        size = self.count[there]
+        within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        self.places = postings.astype(np.int64)[np.repeat(firsts[at[there]].astype(np.int64), size) + within]
+        self.pairs = np.repeat(there, size) * _PLACE + self.places
+
+    def posted(self, terms: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Whether each term has a posting at the place beside it: the intersection of shifted lists, by binary search."""
+        if not len(self.pairs):
+            return np.zeros(len(terms), bool)
+        sought = terms * _PLACE + places
+        at = np.minimum(np.searchsorted(self.pairs, sought), len(self.pairs) - 1)
+        return (self.pairs[at] == sought) & (terms >= 0) & (places >= 0)
+
+    def rarest(self, q: Queries) -> np.ndarray:
+        """The place of the rarest term of each window all of whose terms are in the shard."""
         counts = self.count[q.flat]
-        places, rare = [], []
+        rare = [np.zeros(0, np.int64)]
         for size, at in q.windows.items():
             seen = np.lib.stride_tricks.sliding_window_view(counts, size)[at]
             pick = seen.argmin(axis=1)
             there = seen[np.arange(len(at)), pick] > 0
-            places.append(at[there])
             rare.append(at[there] + pick[there])
-        return np.concatenate(places or [np.zeros(0, np.int64)]), np.concatenate(rare or [np.zeros(0, np.int64)])
+        return np.concatenate(rare)
 
     def candidates(self, q: Queries, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each anchor's number, once for each posting of its term, and that posting."""
@@ -151,24 +167,23 @@ class Shard:
         n = self.count[terms]
         which = np.repeat(np.arange(len(anchors)), n)
         within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        return which, self.postings[np.repeat(self.first[terms], n) + within]
+        return which, self.places[np.repeat(self.first[terms], n) + within]
 
     def exact(self, q: Queries) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Phrase matches: first and last place in the shard, and the item."""
-        anchors = np.unique(self.rarest(q)[1])
+        anchors = np.unique(self.rarest(q))
         which, at = self.candidates(q, anchors)
         mine = anchors[which]
-        reach = []
-        for step in (-1, 1):
-            far, alive = np.zeros(len(at), np.int64), np.arange(len(at))
+        reach = [np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)]
+        for side, step in enumerate((-1, 1)):
+            alive = np.arange(len(at))
             for d in range(1, WINDOW):
-                alive = alive[self.flat[at[alive] + step * d] == q.flat[mine[alive] + step * d]]
+                alive = alive[self.posted(q.flat[mine[alive] + step * d], at[alive] + step * d)]
                 if not len(alive):
                     break
-                far[alive] = d
-            reach.append(far)
+                reach[side][alive] = d
         hit = np.flatnonzero(reach[0] + reach[1] + 1 >= q.need[mine])
-        return at[hit] - reach[0][hit] - _GAP, at[hit] + reach[1][hit] - _GAP, q.item_of[mine[hit]]
+        return at[hit] - reach[0][hit], at[hit] + reach[1][hit], q.item_of[mine[hit]]
 
     def tries(self, q: Queries, share: float):
         """Windows and anchors for ``near``, some at a time: the place of a window, the place of one of its terms, and the words that must be found.
@@ -202,8 +217,8 @@ class Shard:
         hits = [np.zeros((3, 0), np.int64)]
         for windows, anchors, least in self.tries(q, share):
             which, at = self.candidates(q, anchors)
-            doc = np.searchsorted(self.starts, at - _GAP, "right") - 1
-            low, high = self.starts[doc] + _GAP, self.starts[doc + 1] + _GAP - 1
+            doc = np.searchsorted(self.starts, at, "right") - 1
+            low, high = self.starts[doc], self.starts[doc + 1] - 1
             place = windows[which]
             size = int(q.need[place[0]])
             for shift in range(-slop, slop + 1):
@@ -215,7 +230,7 @@ class Shard:
                     for d in range(-slop, slop + 1):
                         p = start[alive] + k + d
                         same = (p >= low[alive]) & (p < high[alive])
-                        same[same] = self.flat[p[same]] == term[same]
+                        same[same] = self.posted(term[same], p[same])
                         there |= same
                         mine, p = alive[same], p[same]
                         first[mine], last[mine] = np.minimum(first[mine], p), np.maximum(last[mine], p)
@@ -223,7 +238,7 @@ class Shard:
                     alive = alive[found[alive] + size - k - 1 >= least]
                 hits.append(np.unique(np.stack([first[alive], last[alive], q.item_of[place[alive]]]), axis=1))
         first, last, item = np.unique(np.concatenate(hits, axis=1), axis=1)
-        return first - _GAP, last - _GAP, item
+        return first, last, item
 
 
 FOUND = "doc_id long, digest binary, n_words long, spans array<int>, items array<long>"
@@ -232,7 +247,8 @@ FOUND = "doc_id long, digest binary, n_words long, spans array<int>, items array
 def search(index: DataFrame, items: tuple, slop: int | None = None, share: float = 0.8) -> DataFrame:
     """Per document of the index: doc_id, digest, n_words, spans (flat list of first and last hit word) and the distinct items found.
 
-    With ``slop``, proximity matches are sought instead of phrases.
+    The digest is the beginning of the text's SHA-256. With ``slop``,
+    proximity matches are sought instead of phrases.
     """
 
     def run(batches):
@@ -240,7 +256,7 @@ def search(index: DataFrame, items: tuple, slop: int | None = None, share: float
         for batch in batches:
             for row in range(batch.num_rows):
                 ids, digests, *arrays = (batch.column(k)[row].values for k in range(6))
-                shard = Shard(*(x.to_numpy(zero_copy_only=False) for x in arrays), len(q.vocabulary))
+                shard = Shard(q, *(x.to_numpy(zero_copy_only=False) for x in arrays))
                 first, last, item = shard.exact(q) if slop is None else shard.near(q, slop, share)
                 n = len(ids)
                 doc = np.searchsorted(shard.starts, first, "right") - 1
@@ -255,7 +271,7 @@ def search(index: DataFrame, items: tuple, slop: int | None = None, share: float
                 columns = [ids, digests, words_of, pa.array(flat, pa.list_(pa.int32())), pa.array(listed, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "n_words", "spans", "items"])
 
-    return index.mapInArrow(common.lean(run), FOUND)
+    return common.in_batches(index, run, FOUND)
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int):
@@ -268,11 +284,9 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", id_col: str = "doc_id", text_col: str = "text", slop: int | None = None, share: float = 0.8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row of ``docs``: the columns of ``search``, over all items."""
-    parts = []
-    for items in _blocks(benchmark, item_col, "text", block_bytes):
-        index, _ = common.stored(build_index(docs, items, id_col, text_col), "postings")
-        parts.append(search(index, items, slop, share))
+    """Per row of ``docs``: the columns of ``search``, over all items. The corpus is read once, to be indexed."""
+    index, _ = common.stored(build_index(docs, id_col, text_col), "postings")
+    parts = [search(index, items, slop, share) for items in _blocks(benchmark, item_col, "text", block_bytes)]
     if len(parts) == 1:
         return parts[0]
     parts = [common.stored(p, "found")[0] for p in parts]
@@ -308,7 +322,7 @@ def judged(found: DataFrame) -> DataFrame:
             columns = [batch.column(0), batch.column(1), pa.array(n_hit, pa.int64()), pa.array([len(i) for i in items], pa.int64()), pa.array(digests, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
 
-    rows = found.select("doc_id", "n_words", "spans", "items").mapInArrow(common.lean(run), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string")
+    rows = common.in_batches(found.select("doc_id", "n_words", "spans", "items"), run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string")
     return rows.withColumn("contaminated", F.expr("n_hit > 0 AND 20 * n_hit >= n_words"))
 
 
