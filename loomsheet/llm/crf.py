@@ -68,12 +68,7 @@ def tag(model: Model, scores: np.ndarray, first: np.ndarray) -> np.ndarray:
     return tags
 
 
-def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
-
-
-def train(features: np.ndarray, tags: np.ndarray, mask: np.ndarray, steps: int = 60, rate: float = 0.3, penalty: float = 1e-3) -> Model:
+def train(features: np.ndarray, tags: np.ndarray, mask: np.ndarray, steps: int = 60, rate: float = 0.3, penalty: float = 1e-4) -> Model:
     """``features``: sequence by place by feature; ``tags`` and ``mask``: sequence by place. Padding lies at the ends."""
     n, length, width = features.shape
     x = np.ascontiguousarray(features.reshape(-1, width), dtype=np.float32)
@@ -85,20 +80,24 @@ def train(features: np.ndarray, tags: np.ndarray, mask: np.ndarray, steps: int =
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (w, m)]
     total = max(1, int(mask.sum()))
     for step in range(1, steps + 1):
-        e = (x @ w.astype(np.float32)).reshape(n, length, 3).astype(np.float64) * mask[..., None]
-        ahead = np.empty((length, n, 3))
-        ahead[0] = e[:, 0]
+        e = (x @ w.astype(np.float32)).reshape(n, length, 3).astype(np.float64)
+        e = np.exp(e - e.max(axis=2, keepdims=True))
+        moves = np.exp(m - m.max())
+        ahead, behind = np.empty((length, n, 3)), np.ones((length, n, 3))  # each row scaled to a sum of 1, which cancels out
+        ahead[0] = e[:, 0] / e[:, 0].sum(axis=1, keepdims=True)
         for k in range(1, length):
-            ahead[k] = np.where(mask[:, k, None], _log_sum(ahead[k - 1][:, :, None] + m[None], 1) + e[:, k], ahead[k - 1])
-        behind = np.zeros((length, n, 3))
+            a = (ahead[k - 1] @ moves) * e[:, k]
+            ahead[k] = np.where(mask[:, k, None], a / a.sum(axis=1, keepdims=True), ahead[k - 1])
         for k in range(length - 2, -1, -1):
-            behind[k] = np.where(mask[:, k + 1, None], _log_sum(m[None] + (e[:, k + 1] + behind[k + 1])[:, None, :], 2), behind[k + 1])
-        z = _log_sum(ahead[-1], 1)
-        p = np.exp(ahead + behind - z[None, :, None]).transpose(1, 0, 2) * mask[..., None]
+            a = (e[:, k + 1] * behind[k + 1]) @ moves.T
+            behind[k] = np.where(mask[:, k + 1, None], a / a.sum(axis=1, keepdims=True), behind[k + 1])
+        p = ahead * behind
+        p = (p / p.sum(axis=2, keepdims=True)).transpose(1, 0, 2) * mask[..., None]
         expected = np.zeros((3, 3))
         for k in range(length - 1):
-            joint = np.exp(ahead[k][:, :, None] + m[None] + (e[:, k + 1] + behind[k + 1])[:, None, :] - z[:, None, None])
-            expected += (joint * pair_mask[:, k, None, None]).sum(axis=0)
+            later = e[:, k + 1] * behind[k + 1]
+            share = pair_mask[:, k] / ((ahead[k] @ moves) * later).sum(axis=1)
+            expected += moves * ((ahead[k] * share[:, None]).T @ later)
         slopes = [(x.T @ p.reshape(-1, 3).astype(np.float32) - seen_x) / total + penalty * w / 10, (expected - seen) / total + penalty * m / 10]
         for q, g, (a, b) in zip((w, m), slopes, moments, strict=True):
             a += 0.1 * (g - a)
