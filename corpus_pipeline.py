@@ -73,16 +73,15 @@ def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     one, so the share of words that the operator's ``contaminated`` asks for
     plays no part here.
     """
-    named = docs.withColumn("_text_id", F.xxhash64("text"))  # the verdict depends on the text alone
-    found = decontaminate.decontaminate(named, common.table(spark, sf_dir, "benchmark"), id_col="_text_id")
-    gone = found.where("n_hit > 0").select(F.col("doc_id").alias("_text_id")).distinct()
-    return named.join(gone, "_text_id", "left_anti").select(*docs.columns)
+    found = decontaminate.matches(docs, common.table(spark, sf_dir, "benchmark"))
+    gone = found.where("size(spans) > 0").select(F.col("digest").alias("_digest")).distinct()  # the verdict depends on the text alone
+    digest = F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 2 * decontaminate.DIGEST))
+    return docs.join(gone, digest == F.col("_digest"), "left_anti")
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace every secret in the texts."""
     model = secrets.fit(docs)
-    common.small_batches(spark)
     at = docs.columns.index("text")
 
     def run(batches):
@@ -93,7 +92,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
             columns[at] = pa.array(clean, texts.type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    out = docs.mapInArrow(common.lean(run), docs.schema)
+    out = common.in_batches(docs, run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
