@@ -57,6 +57,8 @@ class Query:
 
     ``where`` is a condition over [Field] names, or All, Any and Not of conditions.
     ``order``: (item, "asc" or "desc", optionally "nulls first" or "nulls last").
+    ``grain``: safe, strict or reference, and ``disjoint``: suppress, cross or
+    error, as the planner's ``plan`` describes them.
     """
 
     select: tuple

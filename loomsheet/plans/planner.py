@@ -73,13 +73,14 @@ class Planner:
         what becomes of a dimension that a root can't reach: suppress (null),
         cross (joined without a condition) or error. ``grain``: safe computes a
         measure only at its own tables, unless a dimension can't be reached
-        there; reference lets it travel to finer roots, where it repeats.
+        there, and says so in a message; strict refuses that; reference lets it
+        travel to finer roots, where it repeats.
         """
         dims, measures = (list(dict.fromkeys(self.catalog.field(n).name for n in of)) for of in (dims, measures))
         wanted = list(dict.fromkeys(self.catalog.field(n).name for n in (*dims, *filter_dims)))
         plans = self._measured(wanted, measures, list(hints), grain) if measures else self._plain(wanted, list(hints))
         for p in plans:
-            self._complete(p, dims, disjoint)
+            self._complete(p, dims, disjoint, grain == "strict")
         return plans
 
     def _plain(self, dims: list[str], hints: list[str]) -> list[RootPlan]:
@@ -118,7 +119,12 @@ class Planner:
                 plans.append(RootPlan(root, {n: p for n, p in rows[root].items() if n in dims or n in served}, served))
         if pending:
             raise PlanError(f"measures that no table serves: {', '.join(pending)}")
-        return self._pruned([self._coarsened(p, rows, dims, order) for p in plans] if grain == "safe" else plans)
+        if grain == "reference":
+            return self._pruned(plans)
+        moved = [self._coarsened(p, rows, dims, order) for p in plans]
+        if grain == "strict" and (repeated := [m for p in moved for m in p.messages]):
+            raise PlanError("; ".join(repeated))
+        return self._pruned(moved)
 
     def _best_own(self, m: str, root: str, rows: dict, dims: list[str]) -> bool:
         """Whether, of the tables a measure is defined on, this one reaches the most dimensions."""
@@ -143,7 +149,7 @@ class Planner:
     def _pruned(plans: list[RootPlan]) -> list[RootPlan]:
         return [p for p in plans if not any(set(p.measures) < set(q.measures) for q in plans)]
 
-    def _complete(self, plan: RootPlan, dims: list[str], disjoint: str) -> None:
+    def _complete(self, plan: RootPlan, dims: list[str], disjoint: str, strict: bool = False) -> None:
         """Roll down to dimensions that the root doesn't reach; then treat the rest as disjoint."""
         left = [d for d in dims if d not in plan.paths]
         for d in list(left):
@@ -154,6 +160,8 @@ class Planner:
                 plan.rolled[d] = best
                 left.remove(d)
                 if any(j.allow_roll_down != 1 for j in best.joins):
+                    if strict and plan.measures:
+                        raise PlanError(f"{d} lies on {best.start}, finer than {plan.root}: rows would repeat")
                     plan.messages.append(f"{d} lies on {best.start}, finer than {plan.root}: rows may be duplicated")
         if not left:
             return

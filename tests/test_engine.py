@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomsheet import queries as registered
 from loomsheet.functions.canonical import infer_format, is_window, references, rewrite, spark_format, tokens, unit_of
-from loomsheet.functions.dialects import CAPABILITIES, DIALECTS, rewrite_for
+from loomsheet.functions.dialects import CAPABILITIES, DIALECTS, dropped, limited, rewrite_for, table_from
 from loomsheet.model import Cardinality, Catalog, Column, DataSource, Dimension, FieldExpression, Join, JoinType, KeyType, Measure, Project, Table, TableType
 from loomsheet.operators import blocks as B
 from loomsheet.operators.compiler import Compiler, pruned_window
@@ -79,6 +79,67 @@ def test_roots(model):
         p.plan(["Part Brand"], ["# Events"], disjoint="error")
 
 
+def test_strict_grain_repeats_nothing(model):
+    p = Planner(model)
+    assert p.plan(["Customer Region"], ["# Orders"], grain="strict")[0].root == "orders"
+    with pytest.raises(PlanError, match="repeat"):
+        p.plan(["Part Brand"], ["# Orders"], grain="strict")
+    with pytest.raises(PlanError, match="repeat"):
+        p.plan(["Order Priority"], ["# Customers"], grain="strict")
+
+
+def test_dense_models_have_few_paths():
+    c = Catalog(Project("dense"))
+    names = [f"t{k:02d}" for k in range(16)]
+    for n in names:
+        c.add(Table(n, (Column("k", "INTEGER"),), row_count=1))
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            c.add(Join(a, b, "tleft.k = tright.k", Cardinality.ONE_TO_ONE, cost=1))
+    c.add(Dimension("K", (FieldExpression("k", ("t00",)),)))
+    paths = Graph(c).base_paths(c.field("K"))
+    assert len(paths) <= 8 * 16 and {p.root for p in paths} == set(names)
+    assert all(min(len(p.tables) for p in paths if p.root == n) == 2 for n in names[1:])
+
+
+def test_groups_are_crossed_not_rows(spark, sf, model):
+    df = Compiler(spark, model, sf).compile(Query(("Part Brand", "# Events"), disjoint="cross"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join Cross") :]
+    assert below.count("Aggregate") == 2 and "Aggregate" not in plan[: plan.index("Join Cross")]
+
+
+def test_blocks_join_on_pairs_and_nulls(spark, sf, model):
+    runner = B.ReportRunner(Compiler(spark, model, sf))
+    rows = lambda *v: Block("a", values=v, columns=("k", "x"), dims=("k",))
+    other = Block("b", values=((1, "p", 5), (1, "q", 6), (None, "r", 7)), columns=("j", "tag", "y"), dims=("j", "tag"))
+    both = lambda **o: Block("both", source="a", **o)
+    run = lambda *blocks: sorted(map(tuple, runner.run(Report(blocks))["both"].collect()), key=str)
+    on = (BlockJoin("b", "inner", "@[a].[k] = @[b].[j]"),)
+    assert run(rows((1, 10), (None, 20), (3, 30)), other, both(joins=on, select=("[k]", "@[b].[tag]", "[x]", "@[b].[y]"))) == [(1, "p", 10, 5), (1, "q", 10, 6), (None, "r", 20, 7)]
+    assert run(rows((1, 10), (None, 20)), other, both(joins=on, select=("[k]", "[x]", "@[b].[y]"))) == [(1, 10, 11), (None, 20, 7)]  # x once, y added
+    assert run(rows((1, 10), (None, 20)), other, both(joins=(BlockJoin("b", "left_anti", (("k", "j"),)),))) == []
+    assert run(rows((1, 10), (2, 20)), other, both(joins=(BlockJoin("b", "full", (("k", "j"),)),), select=("*",))) == [(1, 10, 1, "p", 5), (1, 10, 1, "q", 6), (2, 20, None, None, None), (None, None, None, "r", 7)]
+    with pytest.raises(PlanError):
+        run(rows((1, 10)), other, both(joins=(BlockJoin("b", "inner", "@[a].[k] < @[b].[j]"),)))
+    mean = Block("m", query=Query(("Market Segment", "Order Status", "Average Order")))
+    with pytest.raises(PlanError, match="again"):
+        run(mean, Block("both", source="m", select=("[Market Segment]", "[Average Order]")))
+
+
+def test_null_groups_meet(spark, tmp_path):
+    spark.createDataFrame([(1, "x"), (2, None)], "id int, g string").write.parquet(f"{tmp_path}/d.parquet")
+    for name, rows in (("f", [(1, 5), (2, 6), (2, 7)]), ("h", [(2, 1), (1, 2)])):
+        spark.createDataFrame(rows, f"{name}_id int, v int").write.parquet(f"{tmp_path}/{name}.parquet")
+    c = Catalog(Project("p")).add(DataSource("s"), Table("d", (Column("id"), Column("g")), source="s"))
+    for name in "fh":
+        c.add(Table(name, (Column(f"{name}_id"), Column("v")), TableType.FACT, source="s"), Join("d", name, f"tleft.id = tright.{name}_id"), Measure(name.upper(), (FieldExpression("sum(v)", (name,)),)))
+    c.add(Dimension("G", (FieldExpression("g", ("d",)),)))
+    rows = lambda q: sorted(map(tuple, Compiler(spark, c, str(tmp_path)).compile(q).collect()), key=str)
+    assert rows(Query(("G", "F", "H"))) == [("x", 5, 2), (None, 13, 1)]
+    assert rows(Query(("G", "F"), where="[H] < 2")) == [(None, 13)]
+
+
 def test_roll_down_needs_leave(model):
     p = Planner(model).plan(["Order Priority"], ["# Customers"], grain="safe")[0]
     assert "repeat" in " ".join(p.messages) or "duplicated" in " ".join(p.messages)
@@ -172,6 +233,7 @@ def test_jdbc_options_show_no_password():
 
 def test_functions():
     assert rewrite("a / b / 2") == "a / nullif(b, 0) / 2" and rewrite("a / 0") == "a / nullif(0, 0)"
+    assert rewrite("- - x") == "- -x" and rewrite("a / 0e0") == "a / nullif(0e0, 0)" and rewrite("a % b") == "a % nullif(b, 0)" and rewrite("log(2, 8)") == "log(2, 8)"
     assert rewrite("log(x) + ln(y)") == "log10(x) + ln(y)" and rewrite("atan2(x, y)") == "atan2(y, x)"
     assert rewrite("'a/b' || left_trim(s)") == "'a/b' || ltrim(s)"
     assert rewrite("count()") == "count(*)" and rewrite("count(distinct a)") == "count(DISTINCT a)"
@@ -202,6 +264,38 @@ def test_dialects():
     assert rewrite_for("mssql", "length(s)") == "len(s)" and rewrite_for("presto", "dateadd(d, 1, mm)") == "date_add('month', 1, d)"
 
 
+def test_dialect_dates():
+    month = lambda d: rewrite_for(d, "datediff(a, b, month)")
+    assert month("oracle") == "trunc(months_between(b, a))" and month("hive") == "cast(months_between(b, a) as int)"
+    for d in DIALECTS:
+        for unit, days in (("month", 30), ("quarter", 90), ("year", 365)):
+            text = rewrite_for(d, f"datediff(a, b, {unit})")
+            assert "86400" not in text and text != rewrite_for(d, "datediff(a, b)"), (d, unit)
+        for text in (rewrite_for(d, "d('2020-01-02')"), rewrite_for(d, "d('3 March 2020')"), rewrite_for(d, "x = last(2)", as_of="2020-01-05")):
+            assert "yyyy" not in text or d in ("hive", "drill") or "YYYY" in text, (d, text)
+    assert rewrite_for("postgresql", "d('2020-01-02')") == "DATE '2020-01-02'" and rewrite_for("oracle", "d('03/04/2020')") == "to_date('03/04/2020', 'FMMM/FMDD/YYYY')"
+    assert rewrite_for("mysql", "d('03 Feb 2020')") == "str_to_date('03 Feb 2020', '%e %b %Y')"
+    assert rewrite_for("postgresql", "x = last(2)", as_of="2020-01-05") == "(x BETWEEN (DATE '2020-01-05' - (2) * INTERVAL '1' DAY) AND DATE '2020-01-05')".replace("- (2)", "+ (-(2))")
+    db = duckdb.connect()  # which reads the generic forms
+    for a, b in (("2020-01-31", "2020-02-29"), ("2020-01-15", "2021-03-14"), ("2020-01-15", "2021-04-15"), ("2020-05-01", "2020-05-01")):
+        for unit, n in (("month", 1), ("quarter", 3), ("year", 12)):
+            sql = rewrite_for("netezza", f"datediff(x, y, {unit})")
+            got = db.execute(f"SELECT CAST(floor({sql.replace('cast(', 'trunc(').replace(' as integer)', ')')}) AS INT) FROM (SELECT TIMESTAMP '{a}' AS x, TIMESTAMP '{b}' AS y)").fetchone()[0]
+            assert got == db.execute(f"SELECT datesub('month', TIMESTAMP '{a}', TIMESTAMP '{b}') // {n}").fetchone()[0], (a, b, unit)
+
+
+def test_dialect_statements():
+    assert limited("mssql", "select distinct a from t", 5) == "select distinct TOP 5 a from t" and limited("mysql", "SELECT 1", 2) == "SELECT 1 LIMIT 2"
+    assert limited("oracle", "SELECT a FROM t ORDER BY a", 3) == "SELECT * FROM (SELECT a FROM t ORDER BY a) WHERE ROWNUM <= 3" and "FETCH FIRST 1" in limited("derby", "SELECT 1", 1)
+    assert table_from("azure", "x", "SELECT 1 AS a") == "SELECT * INTO #x FROM (SELECT 1 AS a) AS kept" and "VOLATILE" in table_from("teradata", "x", "SELECT 1")
+    assert table_from("postgresql", "x", "SELECT 1") == "CREATE TEMPORARY TABLE x AS SELECT 1" and table_from("presto", "x", "SELECT 1") == "CREATE TABLE x AS SELECT 1"
+    assert dropped("netezza", "x") == "DROP TABLE x IF EXISTS" and dropped("oracle", "x") == "DROP TABLE x"
+    db = duckdb.connect()
+    db.execute(table_from("postgresql", "kept", limited("postgresql", "SELECT * FROM range(9)", 4)))
+    assert db.execute("SELECT count(*) FROM kept").fetchone()[0] == 4
+    db.execute(dropped("postgresql", "kept"))
+
+
 def test_names():
     assert G.field_name("id", "orders") == "Order Id" and G.field_name("id", "categories") == "Category Id"
     assert G.field_name("orderDate", "x") == "Order Date" and G.field_name("HTTPCode", "x") == "HTTP Code" and G.field_name("shelf_no", "shelves") == "Shelf No"
