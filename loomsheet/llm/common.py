@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import cache
 
 import pyarrow as pa
@@ -109,6 +110,23 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """A function like ``stored`` for tables that are of no use after the block: they are deleted then."""
+    paths: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out, path = stored(df, name)
+        paths.append(path)
+        return out
+
+    try:
+        yield keep
+    finally:
+        for path in paths:
+            remove(spark, path)
+
+
 def made_folder(spark: SparkSession, name: str) -> str:
     """A new, empty folder for files in the shared folder; it goes when the process ends."""
     path = f"{shared_dir(spark)}/loomsheet-{name}-{uuid.uuid4().hex}"

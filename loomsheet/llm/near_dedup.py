@@ -138,7 +138,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
 SLICE = 1000
 
 
-def across(shared: DataFrame, comps: DataFrame, nodes: DataFrame, sets: DataFrame, s: Settings, slice_rows: int = SLICE) -> DataFrame:
+def across(shared: DataFrame, comps: DataFrame, nodes: DataFrame, sets: DataFrame, s: Settings, keep=lambda df, name: common.stored(df, name)[0], slice_rows: int = SLICE) -> DataFrame:
     """Pairs (x, y) of nodes in different components that may be similar enough, of nodes whose buckets hold several components.
 
     No bucket is multiplied out. Two sets as similar as ``per_cent`` asks have
@@ -157,16 +157,16 @@ def across(shared: DataFrame, comps: DataFrame, nodes: DataFrame, sets: DataFram
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
     left = common.hot_lookup(placed, mixed, "bucket", "node", "left_semi").select("node", "component").distinct()
     rows = sets.join(left, "node").join(nodes.groupBy("node").agg(F.min("bits").alias("bits")), "node")
-    rows, _ = common.stored(rows.select("node", "key", "component", "bits", F.size("shingles").alias("n"), "shingles"), "left-over")
+    rows = keep(rows.select("node", "key", "component", "bits", F.size("shingles").alias("n"), "shingles"), "left-over")
     words = rows.select("node", "key", F.explode("shingles").alias("w"))
-    often, _ = common.stored(words.groupBy("w").count().where("count > 1"), "frequent")
+    often = keep(words.groupBy("w").count().where("count > 1"), "frequent")
     found = common.hot_lookup(words, often, "w", "node", counts=often)
     found = found.groupBy("node", "key").agg(F.sort_array(F.collect_list(F.struct("count", "w"))).alias("t"))  # at most one text's shingles
     found = rows.drop("shingles").join(found, ["node", "key"])
     may_lack = F.expr(f"n - CAST((CAST(n AS LONG) * {s.per_cent} + 99) DIV 100 AS INT)")
     first = F.slice("t", 1, F.greatest(may_lack + 1 - (F.col("n") - F.size("t")), F.lit(0)))
     found = found.select("node", "component", "bits", "n", F.explode(first).alias("t")).select("node", "component", "bits", "n", "t.w", F.ceil(F.col("t.count") / slice_rows).cast("int").alias("_of"))
-    found, _ = common.stored(found.withColumn("_at", F.pmod(F.xxhash64("node"), F.col("_of")).cast("int")), "rarest")
+    found = keep(found.withColumn("_at", F.pmod(F.xxhash64("node"), F.col("_of")).cast("int")), "rarest")
     side = lambda c, i, j: found.select("w", i, j, *(F.col(k).alias(f"{k}_{c}") for k in ("node", "component", "bits", "n")))
     x = side("x", F.col("_at").alias("_i"), F.explode(F.sequence("_at", F.col("_of") - 1)).alias("_j"))
     y = side("y", F.explode(F.sequence(F.lit(0), F.col("_at"))).alias("_i"), F.col("_at").alias("_j"))
@@ -188,21 +188,21 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     banded = nodes.select("node", F.explode("buckets").alias("bucket"))
     # Buckets of one node are of no further use; what is left is a small part of all.
     least = banded.groupBy("bucket").agg(F.min("node").alias("y"), F.max("node").alias("z")).where("y < z")
-    shared, _ = common.stored(banded.join(least.select("bucket", "y"), "bucket").distinct(), "buckets")
-    ours = shared.select("node").distinct()
-    nodes, _ = common.stored(nodes.join(ours, "node", "left_semi").select("node", "signature", "bits").distinct(), "nodes")
-    sets, _ = common.stored(_sets_of(docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")), ours, s), "sets")
-
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        pairs, _ = common.stored(pairs, name + "-pairs")
-        alike, _ = common.stored(_alike(pairs, nodes, s), name + "-alike")
-        return common.stored(_confirmed(alike, sets, s).distinct(), name)[0]
-
-    links = confirmed(shared.where("node <> y").select(F.col("node").alias("x"), "y").distinct(), "links")
-    comps = components(links)
-    further = confirmed(across(shared.select("node", "bucket"), comps, nodes, sets, s), "more-links")
-    if not further.isEmpty():
-        comps = components(links.unionByName(further))
+    with common.scratch(docs.sparkSession) as keep:
+        shared = keep(banded.join(least.select("bucket", "y"), "bucket").distinct(), "buckets")
+        ours = shared.select("node").distinct()
+        nodes = keep(nodes.join(ours, "node", "left_semi").select("node", "signature", "bits").distinct(), "nodes")
+        sets = keep(_sets_of(docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")), ours, s), "sets")
+
+        def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+            alike = keep(_alike(keep(pairs, name + "-pairs"), nodes, s), name + "-alike")
+            return keep(_confirmed(alike, sets, s).distinct(), name)
+
+        links = confirmed(shared.where("node <> y").select(F.col("node").alias("x"), "y").distinct(), "links")
+        comps = components(links)
+        further = confirmed(across(shared.select("node", "bucket"), comps, nodes, sets, s, keep), "more-links")
+        if not further.isEmpty():
+            comps = components(links.unionByName(further))
     found = heads.join(comps, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
     rows = common.hot_lookup(signed.select("doc_id", "n_shingles", "key"), found, "key", "doc_id", "left")
     rows = rows.withColumn("component_id", F.coalesce("component_id", "doc_id"))
