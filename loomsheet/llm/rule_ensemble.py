@@ -8,7 +8,9 @@ per rule, so scoring all texts is a scan without user functions or shuffles.
 
 Null texts count as empty; all statistics of an empty text are 0. Rows that
 repeat are scored row by row. Labels that are null or have no text are not
-learned from. Without labels, or with one class only, the score is constant.
+learned from; of an id that has both labels, 1 counts. Without labels, or with
+one class only, the score is constant. Other columns are never read. A table
+without rows gives none.
 """
 
 from __future__ import annotations
@@ -184,13 +186,14 @@ def compiled(model: Model) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
-def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), label: str = "quality", id_col: str = "doc_id") -> Model:
-    """Learn from at most ``rows`` labelled documents, chosen by a hash of their id."""
+def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Learn from at most ``rows`` labelled documents, chosen by a hash of their id; of an id with several texts, the one of the least hash."""
     ids = labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)")
     ids = ids.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.rows)
-    chosen = docs.select(F.col(id_col).alias("doc_id"), "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id")
-    stats = statistics(chosen.select(F.struct("doc_id", "y").alias("k"), "text"), "k").select("doc_id.doc_id", "doc_id.y", *FEATURES)
-    rows = stats.limit(2 * settings.rows).toPandas().sort_values(["doc_id", *FEATURES])  # an id may have several texts
+    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(F.broadcast(ids), "doc_id")
+    stats = statistics(chosen.select(F.struct("doc_id", "y", F.xxhash64("text").alias("h")).alias("k"), "text"), "k")
+    one = stats.groupBy("doc_id.doc_id", "doc_id.y").agg(F.min(F.struct("doc_id.h", *FEATURES)).alias("s")).select("doc_id", "y", *(f"s.{f}" for f in FEATURES))
+    rows = one.toPandas().sort_values(["doc_id", *FEATURES])
     return learn(rows[list(FEATURES)].to_numpy(np.float64), rows.y.to_numpy(np.float64), settings)
 
 
