@@ -13,7 +13,8 @@ bounded sample, ``per_language`` texts of each.
 
 Null texts and texts without a letter are ``und`` with score 0. A text none of
 whose n-grams is known gets the first language with score 0. Rows that repeat
-are judged row by row. Without labelled rows every text is ``und``.
+are judged row by row. Without labelled rows every text is ``und``. A table
+without rows gives none.
 """
 
 from __future__ import annotations
@@ -40,7 +41,8 @@ _PROBES = np.random.default_rng(5).integers(0, 1 << 63, 3, dtype=np.uint64) * np
 @dataclass(frozen=True)
 class Settings:
     """An n-gram belongs to a language if at least ``min_share`` of its sampled texts have it, two at least,
-    and that share is at least ``relative`` of the largest share among languages."""
+    and that share is at least ``relative`` of the largest share among languages. Filters have 2^``slot_bits`` slots, or
+    more if a language's n-grams would fill over a third of them."""
 
     per_language: int = 1000
     min_share: float = 0.004
@@ -73,8 +75,10 @@ def _slots(grams: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 def build(shares: list[tuple[str, np.ndarray]], slot_bits: int) -> Model:
-    """``shares``: each language with its n-grams."""
+    """``shares``: each language with its n-grams. ``slot_bits``: the least size of the filters."""
     shares = sorted(shares, key=lambda x: x[0])
+    most = max((len(g) for _, g in shares), default=0)
+    slot_bits = max(slot_bits, int(np.ceil(np.log2(3 * len(_PROBES) * max(1, most)))))
     tables, rates = [], []
     for a in range(0, len(shares), 64):
         part = shares[a : a + 64]
@@ -89,12 +93,12 @@ def build(shares: list[tuple[str, np.ndarray]], slot_bits: int) -> Model:
 
 
 def fit(labelled: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model from rows with a text, a language and an id. What is collected is bounded by ``per_language`` texts of each language."""
+    """A model from rows with a text, a language and an id. What is collected, the n-grams of the filters, is bounded by ``per_language`` texts of each language."""
     rows = labelled.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
     rows = rows.where("i IS NOT NULL AND t IS NOT NULL AND l IS NOT NULL")
     order = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i")
     chosen = rows.select("i", "l").withColumn("k", F.row_number().over(order)).where(F.col("k") <= settings.per_language)
-    sample = rows.join(F.broadcast(chosen.select("i", "l").distinct()), ["i", "l"], "left_semi").select("l", "t")
+    sample = rows.join(chosen.select("i", "l").distinct(), ["i", "l"], "left_semi").select("l", "t")
 
     def count(batches):
         for batch in batches:
@@ -109,13 +113,17 @@ def fit(labelled: DataFrame, settings: Settings = Settings(), id_col: str = "doc
                 found, n = np.append(found.astype(np.int64), -1), np.append(n, len(mine))  # -1: the texts themselves
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), pa.array(found), pa.array(n, pa.int64())], names=["l", "g", "n"])
 
-    counts = common.in_batches(sample, count, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).where("n > 1 OR g = -1").toPandas()
-    texts = counts[counts.g < 0].set_index("l").n
-    counts = counts[counts.g >= 0].copy()
-    counts["share"] = counts.n / counts.l.map(texts)
-    counts["top"] = counts.groupby("g").share.transform("max")
-    counts = counts[(counts.share >= settings.min_share) & (counts.share >= settings.relative * counts.top)]
-    return build([(lang, counts[counts.l == lang].g.to_numpy(np.uint32)) for lang in texts.index], settings.slot_bits)
+    counts = common.in_batches(sample, count, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).where("n > 1 OR g = -1")
+    counts, path = common.stored(counts, "n-grams")
+    texts = counts.where("g = -1").select("l", F.col("n").alias("texts"))
+    share = counts.where("g >= 0").join(texts, "l").select("l", "g", (F.col("n") / F.col("texts")).alias("share"))
+    top = F.max("share").over(Window.partitionBy("g"))
+    used = share.withColumn("top", top).where((F.col("share") >= settings.min_share) & (F.col("share") >= settings.relative * F.col("top")))
+    found = used.groupBy("l").agg(F.collect_list("g").alias("g")).collect()
+    grams = {r.l: r.g for r in found}
+    languages = sorted(r.l for r in texts.collect())
+    common.remove(labelled.sparkSession, path)
+    return build([(lang, np.array(sorted(grams.get(lang, ())), np.uint32)) for lang in languages], settings.slot_bits)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
