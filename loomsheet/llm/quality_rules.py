@@ -26,7 +26,10 @@ STOP_WORDS = tuple(
     "the of and to in is was that for on with as by at be this are from or an it a which have not "
     "el la los las de del en y que por para con un una es se su al lo como más no "
     "le les des du et à au aux une dans pour qui sur pas par ne il elle est avec ce sont "
-    "der die das und ist von den dem ein eine zu mit im für auf nicht sich als auch des er sie werden".split()
+    "der die das und ist von den dem ein eine zu mit im für auf nicht sich als auch des er sie werden "
+    "il lo gli di che non sono della dei nel alla più anche o os as do da dos das em uma não mais ao foi "
+    "het een van op te dat niet zijn voor met ook aan bij w z na się nie do jest że och att det som på är av den till inte "
+    "og er ikke ve bir bu için ile de da и в не на что с по как это к из у за а се și nu la în este pe cu yang dan di itu dengan untuk".split()
 )
 
 
@@ -78,7 +81,7 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         F.regexp_count("_t", F.lit(SYMBOL)).cast("long").alias("n_symbols"),
         F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.size(F.filter("_w", lambda w: w.isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
+        F.size(F.filter("_w", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
     ]
     step = step.select(id_col, *plain, "_w", F.when(n >= WINDOW, F.transform("_w", lambda w: F.xxhash64(w))).alias("_h"))
     done = [id_col, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop_words"]
@@ -159,7 +162,7 @@ WITH t AS (
          CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(ls) AS BIGINT) AS n_lines,
          CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
-         CAST(len(list_filter(ws, lambda x: x IN ({_STOP}))) AS BIGINT) AS n_stop_words
+         CAST(len(list_filter(ws, lambda x: lower(x) IN ({_STOP}))) AS BIGINT) AS n_stop_words
   FROM w
 ), g AS (
   SELECT rid, i, array_to_string(ws[i:i + 7], ' ') AS g
