@@ -94,7 +94,7 @@ def test_near_duplicates(spark, size):
 @pytest.mark.parametrize("slice_rows", [3, 1000])
 def test_texts_of_one_frame_are_told_apart(spark, monkeypatch, slice_rows):
     """Texts that share much, so that nearly all meet in the same buckets without being linked; some are."""
-    monkeypatch.setattr(near_dedup.across, "__defaults__", (slice_rows,))
+    monkeypatch.setattr(near_dedup.across, "__defaults__", (near_dedup.across.__defaults__[0], slice_rows))
     rng = random.Random(5)
     vocabulary = [f"v{k}" for k in range(5000)]
     common_part = rng.choices(vocabulary, k=70)
@@ -285,6 +285,38 @@ def test_language_id(spark, sf, odd):
             assert r.lang_pred in model.languages and 0 <= r.score <= 1
     empty = language_id.fit(docs.limit(0))
     assert {r.lang_pred for r in language_id.predict(docs, empty).collect()} == {"und"}
+    assert language_id.predict(frame(spark, []), model).count() == 0
+
+
+def test_decisions_are_what_counting_by_hand_gives():
+    import numpy as np
+
+    texts = ["The cat and the dog", "und der Hund", "çé 12 ñandú!", "x", None, "1 2 3", "", "the " * 3000, "漢字かな"]
+
+    def grams(t):
+        data = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in b"   " + (t or "").encode() + b"   ")
+        return [int.from_bytes(data[i : i + 4], "big") for i in range(len(data) - 3) if data[i + 1] != 32]
+
+    known = {"b": grams(texts[0]) + grams(texts[7])[:9], "a": grams(texts[1]), "c": grams(texts[2]) + grams(texts[0])[:4], "d": grams(texts[1])}
+    model = language_id.build([(k, np.array(sorted(set(v)), np.uint32)) for k, v in known.items()], 5)
+    bits = model.slot_bits
+    assert bits > 5  # sized by the n-grams
+    multipliers = [int(p) for p in language_id._PROBES]
+    slots = lambda g: [((g + 1) * p % (1 << 64)) >> (64 - bits) for p in multipliers]
+    filters = {k: {s for g in v for s in slots(g)} for k, v in known.items()}
+    langs, scores = language_id.decide(model, texts)
+    for t, lang, score in zip(texts, langs, scores, strict=True):
+        g = grams(t)
+        want = {}
+        for k, f in filters.items():
+            rate = (len(f) / (1 << bits)) ** len(multipliers)
+            hits = sum(all(s in f for s in slots(x)) for x in g)
+            want[k] = max(0.0, (hits - rate * len(g)) / max(1 - rate, 1e-9))
+        if not t or not any(map(str.isalpha, t)):
+            assert (lang, score) == ("und", 0.0)
+        else:
+            assert lang == max(sorted(want), key=lambda k: round(want[k], 9)) and np.isclose(score, min(1.0, want[lang] / len(g)))
+    assert langs[1] == "a"  # a and d know the same: the first name wins
 
 
 def test_many_languages_share_the_slots():
@@ -576,6 +608,35 @@ def test_rule_ensemble(spark, sf, odd):
     assert nothing.rules == () and {r.score for r in rule_ensemble.scored(docs.limit(3), nothing).collect()} == {0.5}
 
 
+def test_statistics_are_what_counting_by_hand_gives(spark, odd):
+    import numpy as np
+
+    texts = [*odd, (20, "The cat, the CAT. the; of: a? B9 #x\nline two\n\nline two\n!! yes yes yes"), (21, "q q q"), (22, "\n\n"), (23, "É é ÀB 12 34")]
+    stop = set(quality_rules.STOP_WORDS)
+    share = lambda a, b: a / b if b else 0.0
+
+    def by_hand(t):
+        t = t or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        n, letters, count = len(w), sum(map(len, w)), lambda p: len(re.findall(p, t))
+        return (
+            np.log1p(n), share(letters, n), share(count(r"[#*$%&|<>]"), n), share(sum(x in stop for x in w), n), share(len(lines) - len(set(lines)), len(lines)), share(len(set(w)), n),
+            share(count("[A-Z]"), letters), share(count("[0-9]"), letters), share(count("[.;:?]"), n), share(count("!"), n), share(n, len(lines)), share(sum(a == b for a, b in zip(w, w[1:])), n),
+        )
+
+    got = Counter((r.doc_id, tuple(round(r[f], 9) for f in rule_ensemble.FEATURES)) for r in rule_ensemble.statistics(frame(spark, texts)).collect())
+    assert got == Counter((i, tuple(round(float(v), 9) for v in by_hand(t))) for i, t in texts)
+    assert rule_ensemble.statistics(frame(spark, [])).count() == 0
+
+
+def test_ids_with_several_texts_are_learned_from_once(spark):
+    docs = frame(spark, [(k % 40, f"{'good words of it ' * (k % 40)}{k}" if k % 2 else "X! " * k) for k in range(400)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(3, None), (None, 1), (5, 0)], "doc_id long, quality int")
+    a, b = (rule_ensemble.fit(d, labels, rule_ensemble.Settings(rows=30, least=2)) for d in (docs, docs.repartition(5)))
+    assert a == b and a.rules
+
+
 def test_compiled_rules_score_as_numpy_does(spark, odd):
     import numpy as np
 
