@@ -113,8 +113,9 @@ def _accepted(kind: str, found: str) -> str | None:
     """The canonical form of a match, or None if it is none of the kind."""
     if kind == "card":
         digits = re.sub(r"\D", "", found)
-        # A mistyped card is as personal as a right one; other long numbers count only if they are in a card's groups and pass the Luhn test.
-        return found if issued(digits) or digits != found and not _luhn(digits) else None
+        # A run of digits must be an issuer's number and pass the Luhn test; one in a card's groups, either.
+        right, ours = not _luhn(digits), issued(digits)
+        return found if (right and ours if digits == found else right or ours) else None
     if kind == "iban":
         compact = found.replace(" ", "")
         return found if 15 <= len(compact) <= 34 and _remainder(compact) == 1 else None
