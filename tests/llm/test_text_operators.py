@@ -521,10 +521,10 @@ def _planted(rng):
         "ipv6": ["2001:db8:0:0:8:800:200c:417a", "fe80::1ff:fe23:4567:890a", "2001:DB8::1"],
         "iban": [german, " ".join(german[k : k + 4] for k in range(0, 22, 4)), iban("ES", 20)],
         "id": [f"{rng.randint(100, 899)}-{rng.randint(10, 99)}-{digits(4)}"],
-        "card": [card, " ".join(card[k : k + 4] for k in range(0, 16, 4)), luhn("34" + digits(12)), "5" + str(rng.randint(1, 5)) + digits(14)],
+        "card": [card, " ".join(card[k : k + 4] for k in range(0, 16, 4)), luhn("34" + digits(12)), luhn("5" + str(rng.randint(1, 5)) + digits(13)), f"5{rng.randint(1, 5)}{digits(2)} {digits(4)} {digits(4)} {digits(4)}"],
         "person": ["Mohammed Ali", "Priya Sharma", "John Smith", "ANNA MÜLLER", "Anna-Maria Weber", "Иван Петров", "Jean García Lopez", "Νίκος Παππάς"],
     }
-    no = ["1700000000123", "12:30:45", "2024-01-12", "version 1.2.3", "DE00 1234 5678 9012 3456 78", "The End", "New York", "a::b", "99.5%", "300.1.1.1", "@home", "10000000000000000000000"]
+    no = ["1700000000123", "4111111111111112", luhn("98" + digits(13)), "12:30:45", "2024-01-12", "version 1.2.3", "DE00 1234 5678 9012 3456 78", "The End", "New York", "a::b", "99.5%", "300.1.1.1", "@home", "10000000000000000000000"]
     return yes, no
 
 
