@@ -159,7 +159,8 @@ def hot_lookup(left: DataFrame, right: DataFrame, key: str, salt_by: str, how: s
     if not found:
         return left.join(right, key, how)
     spark, kind = left.sparkSession, left.schema[key].dataType.simpleString()
-    parts = spark.createDataFrame([(r[key], -(-r["count"] // hot_rows)) for r in found], f"`{key}` {kind}, _parts int")
+    rows = [F.struct(F.lit(r[key]).cast(kind).alias(key), F.lit(-(-r["count"] // hot_rows)).alias("_parts")) for r in found]
+    parts = spark.range(1).select(F.inline(F.array(*rows)))
     spread = right.join(F.broadcast(parts), key, "left")
     spread = spread.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     rows = left.join(F.broadcast(parts), key, "left")
