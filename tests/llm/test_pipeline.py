@@ -29,6 +29,12 @@ def folder(spark, sf, tmp_path_factory):
     return out
 
 
+@pytest.fixture(autouse=True)
+def small_field(monkeypatch):
+    """A field that is trained faster; the operator's own tests use the full one."""
+    monkeypatch.setattr(secrets.fit, "__defaults__", (secrets.Settings(snippets=1500, sequences=1500, steps=100), *secrets.fit.__defaults__[1:]))
+
+
 def test_stages(spark, folder):
     docs = common.table(spark, folder, "documents")
     items = [(r.item_id, r.text) for r in common.table(spark, folder, "benchmark").collect()]
@@ -107,6 +113,10 @@ def test_tokens_are_decoded(spark, sf):
 def test_hot_keys_lose_no_row(spark):
     left = spark.range(300).select((F.col("id") % 3 * (F.col("id") % 2)).alias("k"), F.col("id").alias("v")).unionByName(spark.createDataFrame([(None, 1000)], "k long, v long"))
     right = spark.createDataFrame([(0, "a"), (1, "b")], "k long, w string")
+    raw = lambda df: df.withColumn("k", F.encode(F.col("k").cast("string"), "UTF-8"))
+    counts = raw(left).where("k IS NOT NULL").groupBy("k").count()
+    got = common.hot_lookup(raw(left), raw(right), "k", "v", hot_rows=10, counts=counts).select("v", "w").collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, left.join(right, "k").select("v", "w").collect()))
     for how in ("inner", "left"):
         got = common.hot_lookup(left, right, "k", "v", how, hot_rows=10).select("k", "v", "w").collect()
         assert Counter(map(tuple, got)) == Counter(map(tuple, left.join(right, "k", how).select("k", "v", "w").collect()))
