@@ -339,13 +339,13 @@ def sampled(docs: DataFrame, n: int) -> DataFrame:
 
 
 def sample_windows(chosen: DataFrame, s: Settings, pairs: np.ndarray, n: int) -> list:
-    """Stretches of tokens with features and tags, from the ``n`` sampled texts; ``chosen``: doc_id, text."""
+    """Stretches of tokens with features, eight to a byte, and tags, from the ``n`` sampled texts; ``chosen``: doc_id, text."""
     each = -(-s.snippets // max(1, n))
 
     def run(batches):
         for batch in batches:
             data, offsets, starts, ends, first = _tokens(batch.column(1))
-            x = features(data, starts, ends, first, pairs)
+            x = np.packbits(f := features(data, starts, ends, first, pairs), axis=1)
             out = []
             texts = [t or "" for t in batch.column(1).to_pylist()]
             ids = [d or 0 for d in batch.column(0).to_pylist()]
@@ -359,7 +359,7 @@ def sample_windows(chosen: DataFrame, s: Settings, pairs: np.ndarray, n: int) ->
                     if len(hit) and not tags[hit].any():
                         tags[hit] = crf.INSIDE
                         tags[hit[0]] = crf.BEGIN
-                odd = x[a:b, 8] | (tags > 0)
+                odd = f[a:b, 8] | (tags > 0)
                 rank = [(-int((tags[k : k + s.length] > 0).any()), -int(odd[k : k + s.length].any()), k) for k in range(0, b - a, s.length)]
                 for _, _, k in sorted(rank)[: s.windows]:
                     out.append((doc_id, k, x[a + k : min(b, a + k + s.length)].tobytes(), tags[k : k + s.length].tobytes()))
@@ -369,7 +369,7 @@ def sample_windows(chosen: DataFrame, s: Settings, pairs: np.ndarray, n: int) ->
                 names = [x for x in words if x.isascii() and x.isalpha() and len(x) > 2]
                 made += [(d, k, *snippet(words, names, random.Random(d * each + k))) for k in range(each)]
             data, _, starts, ends, first = _tokens(pa.array([t for _, _, t, _ in made], pa.string()))
-            x = features(data, starts, ends, first, pairs)
+            x = np.packbits(features(data, starts, ends, first, pairs), axis=1)
             for m, (d, k, _, tags) in enumerate(made):
                 a, b = int(first[m]), int(first[m + 1])
                 if b - a == len(tags):  # words of other white space are split otherwise; such a snippet is left out
@@ -408,7 +408,7 @@ def fit(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id"
     mask = np.zeros((len(rows), settings.length), bool)
     for i, r in enumerate(rows):
         n = len(r.t)
-        x[i, :n] = np.frombuffer(r.x, np.uint8).reshape(n, WIDTH)
+        x[i, :n] = np.unpackbits(np.frombuffer(r.x, np.uint8).reshape(n, -1), axis=1, count=WIDTH)
         t[i, :n] = np.frombuffer(r.t, np.uint8)
         mask[i, :n] = True
     return Model(crf.train(x, t, mask, settings.steps), pairs)
