@@ -38,6 +38,10 @@ _MAP[128:] = np.arange(128, 256)
 _PROBES = np.random.default_rng(5).integers(0, 1 << 63, 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+#: Sampled ids that are broadcast, at most: those of 200 languages.
+MOST_BROADCAST = 200_000
+
+
 @dataclass(frozen=True)
 class Settings:
     """An n-gram belongs to a language if at least ``min_share`` of its sampled texts have it, two at least,
@@ -98,7 +102,10 @@ def fit(labelled: DataFrame, settings: Settings = Settings(), id_col: str = "doc
     rows = rows.where("i IS NOT NULL AND t IS NOT NULL AND l IS NOT NULL")
     order = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i")
     chosen = rows.select("i", "l").withColumn("k", F.row_number().over(order)).where(F.col("k") <= settings.per_language)
-    sample = rows.join(chosen.select("i", "l").distinct(), ["i", "l"], "left_semi").select("l", "t")
+    chosen, chosen_path = common.stored(chosen.select("i", "l").distinct(), "chosen-texts")
+    # So that no text is shuffled to find a few; with very many languages Spark decides.
+    few = F.broadcast(chosen) if chosen.count() <= MOST_BROADCAST else chosen
+    sample = rows.join(few, ["i", "l"], "left_semi").select("l", "t")
 
     def count(batches):
         for batch in batches:
@@ -122,7 +129,8 @@ def fit(labelled: DataFrame, settings: Settings = Settings(), id_col: str = "doc
     found = used.groupBy("l").agg(F.collect_list("g").alias("g")).collect()
     grams = {r.l: r.g for r in found}
     languages = sorted(r.l for r in texts.collect())
-    common.remove(labelled.sparkSession, path)
+    for p in (path, chosen_path):
+        common.remove(labelled.sparkSession, p)
     return build([(lang, np.array(sorted(grams.get(lang, ())), np.uint32)) for lang in languages], settings.slot_bits)
 
 
