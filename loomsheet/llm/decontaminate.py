@@ -17,6 +17,10 @@ Terms are 64-bit hashes of words. Test items are taken in blocks of bounded
 size; a block is sent to all executors, and the blocks' results are merged by
 document.
 
+Who only wants to be rid of the documents with matches calls ``without``: each
+shard is then searched as soon as it is made, in the pass that reads the rows,
+and the rows themselves are passed on. Nothing is written, shuffled or joined.
+
 Null texts have no words. Items without words are ignored; words hit by an
 item whose id is null count, but such an item is not listed. Rows that repeat
 are judged row by row. Other columns are never read. Without documents there
@@ -68,7 +72,7 @@ class Queries:
 
 
 _GAP = WINDOW
-#: Windows, and postings of their anchors, that a proximity search takes at a time.
+#: Windows that a search takes at a time; of a proximity search also postings of their anchors.
 _TRIED = 1 << 16
 
 
@@ -92,6 +96,16 @@ def queries(items: tuple[tuple[int | None, bytes], ...]) -> Queries:
     return Queries(tuple(items[i][0] for i in full.tolist()), vocabulary, flat, item_of, {k: np.concatenate(v) for k, v in windows.items()}, need)
 
 
+def _postings(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """starts, terms, firsts and postings of a shard of these texts, as ``build_index`` has them; starts has one more, an end."""
+    h, first = _terms(texts)
+    n = np.arange(len(texts) + 1)
+    places = np.arange(len(h)) + np.repeat(n[:-1], np.diff(first))
+    order = np.argsort(h, kind="stable")
+    terms, firsts = np.unique(h[order], return_index=True)
+    return first + n, terms.view(np.int64), np.append(firsts, len(h)), places[order]
+
+
 INDEX = "doc_ids array<long>, digests array<binary>, starts array<int>, terms array<long>, firsts array<int>, postings array<int>"
 
 
@@ -106,14 +120,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches):
         for batch in batches:
-            h, first = _terms(batch.column(1))
             digests = [sha256(t or b"").digest()[:DIGEST] for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
-            n = np.arange(batch.num_rows + 1)
-            places = np.arange(len(h)) + np.repeat(n[:-1], np.diff(first))
-            order = np.argsort(h, kind="stable")
-            terms, firsts = np.unique(h[order], return_index=True)
-            firsts = np.append(firsts, len(h))
-            arrays = (first + n, terms.view(np.int64), firsts, places[order])
+            arrays = _postings(batch.column(1))
             values = [batch.column(0).cast(pa.int64()), pa.array(digests, pa.binary()), *(pa.array(x, t) for x, (_, t) in zip(arrays, kind[2:], strict=True))]
             lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in values]
             yield pa.RecordBatch.from_arrays(lists, names=[k for k, _ in kind])
@@ -154,11 +162,13 @@ class Shard:
         """The place of the rarest term of each window all of whose terms are in the shard."""
         counts = self.count[q.flat]
         rare = [np.zeros(0, np.int64)]
-        for size, at in q.windows.items():
-            seen = np.lib.stride_tricks.sliding_window_view(counts, size)[at]
-            pick = seen.argmin(axis=1)
-            there = seen[np.arange(len(at)), pick] > 0
-            rare.append(at[there] + pick[there])
+        for size, every in q.windows.items():
+            for i in range(0, len(every), _TRIED):
+                at = every[i : i + _TRIED]
+                seen = np.lib.stride_tricks.sliding_window_view(counts, size)[at]
+                pick = seen.argmin(axis=1)
+                there = seen[np.arange(len(at)), pick] > 0
+                rare.append(at[there] + pick[there])
         return np.concatenate(rare)
 
     def candidates(self, q: Queries, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -301,6 +311,37 @@ def matches(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", id
     return both.select("doc_id", "digest", "n_words", *(F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("spans", "array<int>"), ("items", "array<long>"))))
 
 
+def _without(docs: DataFrame, items: tuple, text_col: str) -> DataFrame:
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        q = queries(items)
+        for batch in batches:
+            shard = Shard(q, *_postings(batch.column(at)))
+            clean = np.ones(batch.num_rows, bool)
+            clean[np.searchsorted(shard.starts, shard.exact(q)[0], "right") - 1] = False
+            yield batch.filter(pa.array(clean))
+
+    return common.in_batches(docs, run, docs.schema, rows=SHARD_ROWS)
+
+
+def without(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` in whose texts no window of any item occurs.
+
+    Rows are judged where they are read, a shard at a time. Each further block
+    of items reads the rows that are left once more, from the shared folder.
+    """
+    path = None
+    for k, items in enumerate(_blocks(benchmark, item_col, "text", block_bytes)):
+        if k:
+            before = path
+            docs, path = common.stored(docs, "clean")
+            if before:
+                common.remove(docs.sparkSession, before)
+        docs = _without(docs, items, text_col)
+    return docs
+
+
 def covered(spans: list[int]) -> int:
     """Words inside the spans."""
     total, reached = 0, -1
