@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 128
 #: Bytes in one Arrow batch.
 BATCH_BYTES = 2 << 20
+#: Bytes in one batch that Spark sends to a worker, about.
+SENT_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,17 +38,38 @@ def pieces(batch: pa.RecordBatch, rows: int = BATCH_ROWS, most: int = BATCH_BYTE
         at += n
 
 
+def sent_small(df: DataFrame, most: int = SENT_BYTES) -> DataFrame:
+    """``df``, of whose rows Spark sends Python some ``most`` bytes at once; a row of more is sent alone.
+
+    Otherwise it sends 10,000 rows or 64 MB, for most tasks all they read, and
+    holds them several times over, outside the executor's heap and in the worker.
+    The setting is made in a copy of the session, so the caller's own stays as it is.
+    """
+    copy = df._jdf.sparkSession().cloneSession()
+    copy.conf().set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+    plan = df._jdf.queryExecution().analyzed()
+    return DataFrame(df.sparkSession._jvm.org.apache.spark.sql.classic.Dataset.ofRows(copy, plan), df.sparkSession)
+
+
+def give_back() -> None:
+    """Return to the system what Arrow and, under glibc, malloc hold free."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def in_batches(df: DataFrame, run, schema: str, rows: int = BATCH_ROWS, most: int = BATCH_BYTES) -> DataFrame:
-    """``df.mapInArrow`` with ``run`` over small batches, which bounds what a worker makes of one; Spark itself sends 64 MB at once at most.
+    """``df.mapInArrow`` with ``run`` over small batches, which bounds what a worker makes of one.
 
-    At its end a worker, which serves many tasks, gives back what Arrow holds.
+    At its end a worker, which serves many tasks, gives back what is free.
     """
 
     def inner(batches):
         yield from run(p for b in batches for p in pieces(b, rows, most))
-        pa.default_memory_pool().release_unused()
+        give_back()
 
-    return df.mapInArrow(inner, schema)
+    return sent_small(df).mapInArrow(inner, schema)
 
 
 @cache

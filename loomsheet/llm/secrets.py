@@ -414,8 +414,17 @@ def fit(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id"
     return Model(crf.train(x, t, mask, settings.steps), pairs)
 
 
+#: Bytes of texts that a scan takes at a time; those of short words need a hundred times as much for their features.
+SCAN_BYTES = 512 << 10
+
+
 def scan(model: Model | None, texts: pa.Array) -> list[list[Span]]:
     """All spans of each text."""
+    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+    return [spans for part in common.pieces(batch, common.BATCH_ROWS, SCAN_BYTES) for spans in _scan(model, part.column(0))]
+
+
+def _scan(model: Model | None, texts: pa.Array) -> list[list[Span]]:
     values = texts.to_pylist()
     data, offsets, starts, ends, first = _tokens(texts)
     found = []

@@ -5,12 +5,13 @@ import tracemalloc
 from collections import Counter
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomsheet.llm import bpe, common, decontaminate, language_id, secrets
+from loomsheet.llm import bpe, common, crf, decontaminate, language_id, secrets
 from loomsheet.llm.components import components
 from tests.llm.test_text_operators import brute_groups, brute_hits, literal_spans
 
@@ -183,3 +184,36 @@ def test_windows_of_many_items_are_tried_some_at_a_time():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 30e6  # 13 counts of 8 bytes for each of all windows would be 42 MB
+
+
+def test_spark_sends_small_batches(spark):
+    """A task's rows went to Python in one batch, of which JVM and worker held several copies: over 3000 MB in an executor that near-dedup had filled."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([batch.column(1).buffers()[2].size] * batch.num_rows, pa.int64())], names=["id", "size"])  # a part's buffer is that of the batch it was sent in
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.range(0, 6000, 1, 1).select("id", F.repeat(F.lit("x"), F.when(F.col("id") == 77, 9_000_000).otherwise(3000)).alias("text"))
+    got = common.in_batches(docs, run, "id long, size long").collect()
+    assert sorted(r.id for r in got) == list(range(6000))
+    assert sum(r.size > 8 << 20 for r in got) < 1500  # only those sent with the long row
+    assert spark.conf.get(name) == before
+
+
+def test_scans_take_some_texts_at_a_time():
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices([f"v{k}" for k in range(5000)], k=4000)) + f' token = "{k:020}" ' for k in range(90)] + [None, "", "a" * 700_000 + " AKIA" + "B" * 16]
+    weights = np.zeros((secrets.WIDTH, 3))
+    weights[0, crf.OUTSIDE], weights[19, crf.BEGIN] = 1, 9
+    model = secrets.Model(crf.Model(weights, np.zeros((3, 3))), secrets.surprise(np.zeros((27, 27), np.int64)))
+    tracemalloc.start()
+    got = secrets.scan(model, pa.array(texts[:-1]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(len(t or "") for t in texts[:-1]) > 2e6 and peak < 90e6  # 196 MB when all were taken at once
+    got += secrets.scan(model, pa.array(texts[-1:]))
+    assert got == secrets.scan(model, pa.array(texts)) == [s for t in texts for s in secrets.scan(model, pa.array([t], pa.string()))]
+    assert [[s for s in spans if s[2] < 3] for spans in got] == [secrets.base_spans(t or "") for t in texts] and all(got[:90])
+    assert secrets.scan(model, pa.array([], pa.string())) == []
